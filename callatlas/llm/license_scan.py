@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callatlas.llm.common import materialize
+
 SHINGLE = 5
 BANDS = 32
 MIN_CONTAINMENT = 0.8
@@ -40,17 +42,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
-    """Hashes of all runs of SHINGLE words, in order; none if there are fewer words."""
-    n = F.size(w)
-    return F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.xxhash64(*[F.get(w, i + (k - 1)) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>"))
+def shingles(text: Column) -> Column:
+    """Hashes of all runs of SHINGLE words of a text, in order; none if there are fewer words. The words are bound to
+    a lambda variable, so that a text is split once and not once for each shingle."""
+    return F.get(F.transform(F.array(words(text)), _runs), F.lit(0))
+
+
+def _runs(w: Column) -> Column:
+    return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _template_hashes(spark: SparkSession, templates: dict[str, str]) -> dict[str, list[int]]:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    return {r[0]: list(dict.fromkeys(r[1])) for r in rows.select("license", shingles(words(F.col("text")))).collect() if r[1]}
+    return {r[0]: list(dict.fromkeys(r[1])) for r in rows.select("license", shingles(F.col("text"))).collect() if r[1]}
 
 
 def _minima(spark: SparkSession, hashes: dict[str, list[int]], bands: int) -> list[tuple[str, int, int, int]]:
@@ -82,7 +88,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
         return none
     minima = _minima(spark, hashes, bands)
     anchors = _bigints(sorted({m[3] for m in minima}))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(words(F.col("text").cast("string"))).alias("s")).where(F.arrays_overlap("s", anchors))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text").cast("string")).alias("s")).where(F.arrays_overlap("s", anchors))
+    base = materialize(base, "license-candidates")  # the few texts with an anchor; keeps the rest of the plan small
     classes: dict[int, list[str]] = {}
     for name, hs in hashes.items():
         classes.setdefault((len(hs) - 1).bit_length(), []).append(name)
