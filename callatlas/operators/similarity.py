@@ -112,11 +112,11 @@ def knn(vectors: DataFrame, k: int = 10) -> DataFrame:
         scores = q @ m.T
         keep = min(k + 1, m.shape[0])
         least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-        r, c = np.nonzero(scores >= least[:, None] - 1e-12)
+        r, c = np.nonzero(scores >= least[:, None] - 1e-6)
         yield pa.RecordBatch.from_arrays([pa.array(names[r], pa.string()), pa.array(ids[c], pa.string()), pa.array(scores[r, c])], names=["query_id", "method_id", "score"])
 
-    near = _blocked(vectors, emit, "query_id string, method_id string, score double").withColumn("score", F.round("score", 6))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("method_id").cast("string"))
+    near = _blocked(vectors, emit, "query_id string, method_id string, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "method_id")  # sums in another order differ in the last bits
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
 
 

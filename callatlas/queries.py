@@ -20,12 +20,12 @@ from callatlas.sources.testdata import calls, graph, read
 from callatlas.streaming.churn import windowed_commits
 
 Query = Callable[[SparkSession, str], DataFrame]
-CUTOFF = "1995-01-01"
+CUTOFF = "1996-01-01"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 LAYER_OF = {"Presentation": ["AMERICA.*"], "Application": ["ASIA.*"], "Domain": ["EUROPE.*"], "Infrastructure": ["AFRICA.*"], "Shared": ["MIDDLE_EAST.*"]}
 RULES = [{"name": "america to europe", "from": "*AMERICA.*", "to": "*EUROPE.*"}, {"name": "asia to any", "from": "*ASIA.*", "to": "*", "severity": "Warning"}, {"name": "fine", "from": "*", "to": "*", "type": "Allowed"}]
-ZONES = [{"pattern": "*AMERICA.BRAZIL*", "level": "DoNotModify", "reason": "a", "owner": "b"}, {"pattern": "*AMERICA.*", "level": "RequireApproval", "reason": "c"}, {"pattern": "*ASIA.*", "level": "Deprecated", "reason": "d"}]
+ZONES = [{"pattern": "*AMERICA.NATION_6*", "level": "DoNotModify", "reason": "a", "owner": "b"}, {"pattern": "*AMERICA.*", "level": "RequireApproval", "reason": "c"}, {"pattern": "*ASIA.*", "level": "Deprecated", "reason": "d"}]
 
 _PLACES = """places AS (SELECT s_suppkey, replace(r_name,' ','_')||'.'||replace(n_name,' ','_') AS ns, replace(s_name,' ','_') AS tname, CASE WHEN s_suppkey%7=0 THEN 'Interface' ELSE 'Class' END AS kind, r_name AS project, n_nationkey, n_regionkey
  FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey)"""
@@ -69,11 +69,11 @@ _HOT = "SELECT id, full_name, tname||'.cs' AS file, start_line, cc AS cognitive_
 for _by, _order in (("complexity", "cc DESC, br DESC, id"), ("blast", "br DESC, cc DESC, id"), ("risk", "cc*(1+log10(br+1.0)) DESC, br DESC, id")):
     query(f"hotspots_{_by}", f"{_BASE} {_HOT.format(_order)}")(lambda s, d, by=_by: R.hotspots(graph(s, d), 20, by=by))
 query("hotspots_threshold", f"{_BASE} SELECT * FROM ({_HOT.format('cc DESC, br DESC, id').replace('FROM m', 'FROM m WHERE cc >= 30')})")(lambda s, d: R.hotspots(graph(s, d), 20, 30))
-query("method_search", f"{_BASE} SELECT id, name, full_name, file_path, start_line FROM m WHERE full_name ILIKE '%brazil%blue_%'")(lambda s, d: R.search_methods(graph(s, d), "brazil%blue_"))
+query("method_search", f"{_BASE} SELECT id, name, full_name, file_path, start_line FROM m WHERE full_name ILIKE '%nation_6%blue_%'")(lambda s, d: R.search_methods(graph(s, d), "nation_6%blue_"))
 query("method_info", f"{_BASE}, {_TOP_CALLEE} SELECT m.id, full_name, cc AS cognitive_complexity FROM m JOIN seed ON m.id=seed.id")(lambda s, d: R.method_info(graph(s, d), _top(s, d, "callee_id")).select("id", "full_name", "cognitive_complexity"))
 _TREE = "SELECT project, ns AS namespace, tname AS type, kind, name AS method, 'void' AS return_type, accessibility, id AS method_id FROM m WHERE accessibility='Public'"
 query("tree", f"{_BASE} {_TREE}")(lambda s, d: R.tree(graph(s, d)))
-query("tree_filtered", f"{_BASE} {_TREE} AND ns ILIKE 'A%' AND kind <> 'Interface' AND ns NOT ILIKE '%BRAZIL%' AND ns NOT ILIKE '%CHINA%'")(lambda s, d: R.tree(graph(s, d), namespace="A", skip_interfaces=True, skip_tests=True, exclude=("BRAZIL", "CHINA")))
+query("tree_filtered", f"{_BASE} {_TREE} AND ns ILIKE 'A%' AND kind <> 'Interface' AND ns NOT ILIKE '%NATION_6%' AND ns NOT ILIKE '%NATION_12%'")(lambda s, d: R.tree(graph(s, d), namespace="A", skip_interfaces=True, skip_tests=True, exclude=("NATION_6", "NATION_12")))
 query(
     "tree_top",
     f"{_BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY project, ns, tname ORDER BY name, id) AS rn, count(*) OVER (PARTITION BY project, ns, tname) AS n FROM m WHERE accessibility='Public') SELECT project, ns AS namespace, tname AS type, string_agg(name, ',' ORDER BY rn) AS first_methods, CAST(max(n) AS BIGINT) AS n_methods, CAST(greatest(0, max(n)-3) AS BIGINT) AS more FROM r WHERE rn<=3 GROUP BY 1,2,3",
@@ -114,17 +114,17 @@ query(
     "rank_combined",
     f"{_BASE}, {_REACH}, n AS (SELECT id FROM m WHERE cc>=40), b AS (SELECT dst AS id, count(DISTINCT src) AS br FROM r GROUP BY 1), c AS (SELECT id, count(*) AS coup FROM (SELECT caller_id AS id FROM calls UNION ALL SELECT callee_id FROM calls) GROUP BY 1), x AS (SELECT n.id, coalesce(b.br,0) AS br, m.cc, coalesce(c.coup,0) AS coup FROM n JOIN m ON m.id=n.id LEFT JOIN b ON b.id=n.id LEFT JOIN c ON c.id=n.id) SELECT id, round(0.4::DOUBLE*br/greatest(1,max(br) OVER ())+0.35::DOUBLE*cc/greatest(1,max(cc) OVER ())+0.25::DOUBLE*coup/greatest(1,max(coup) OVER ()),6) AS score FROM x",
 )(lambda s, d: G.rank((t := graph(s, d)), t.metrics.where("cognitive_complexity >= 40").select(F.col("method_id").alias("id"))))
-_GQ = Q.GraphQuery(Q.Seed(methodPattern="*BRAZIL*"), Q.Expand("callees", 2), Q.Filter(excludeNamespaces=("CHINA",)), Q.Rank("combined"), Q.Output(50))
+_GQ = Q.GraphQuery(Q.Seed(methodPattern="*NATION_6*"), Q.Expand("callees", 2), Q.Filter(excludeNamespaces=("NATION_12",)), Q.Rank("combined"), Q.Output(50))
 query(
     "graph_query_pattern",
-    f"{_BASE}, seed AS (SELECT id FROM m WHERE full_name ILIKE '%BRAZIL%'), x AS ({_DOWN}), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT dst, depth+1 FROM w JOIN x ON src=id WHERE depth<2), n AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT m.id, full_name, CAST(depth AS INTEGER) AS depth, cc AS complexity, br AS blast_radius, round(cc*(1+ln(1+br)),6) AS rank_score FROM n JOIN m ON m.id=n.id WHERE depth=0 OR NOT (ns ILIKE '%CHINA%' OR full_name ILIKE '%CHINA%') ORDER BY rank_score DESC, m.id LIMIT 50",
+    f"{_BASE}, seed AS (SELECT id FROM m WHERE full_name ILIKE '%NATION_6%'), x AS ({_DOWN}), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT dst, depth+1 FROM w JOIN x ON src=id WHERE depth<2), n AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT m.id, full_name, CAST(depth AS INTEGER) AS depth, cc AS complexity, br AS blast_radius, round(cc*(1+ln(1+br)),6) AS rank_score FROM n JOIN m ON m.id=n.id WHERE depth=0 OR NOT (ns ILIKE '%NATION_12%' OR full_name ILIKE '%NATION_12%') ORDER BY rank_score DESC, m.id LIMIT 50",
 )(lambda s, d: Q.execute(graph(s, d), Q.GraphQuery.from_json(_GQ.to_json())))
 query(
     "graph_query_cluster",
     f"{_BASE}, cl AS (SELECT label FROM embeddings WHERE 'label '||label ILIKE '%label%' GROUP BY label ORDER BY count(*) DESC, 'cluster-'||label LIMIT 1), seed AS (SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings JOIN cl USING (label)), x AS ({_UP}), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT dst, depth+1 FROM w JOIN x ON src=id WHERE depth<1), n AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT m.id, full_name, CAST(depth AS INTEGER) AS depth, cc AS complexity, br AS blast_radius, CAST(br AS DOUBLE) AS rank_score FROM n JOIN m ON m.id=n.id ORDER BY rank_score, m.id LIMIT 20",
 )(lambda s, d: Q.execute(graph(s, d), Q.GraphQuery(Q.Seed(cluster="label"), Q.Expand("callers", 1), rank=Q.Rank("blastRadius", False))))
 _V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
-_COS = "round(list_cosine_similarity(a.e, b.e), 6)"
+_COS = "list_cosine_similarity(a.e, b.e)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("method_id_a", "method_id_b", F.lit(0.0).alias("structural_similarity"), "semantic_similarity", (F.col("semantic_similarity") * 0.5 + 0.5).alias("hybrid_score"), F.lit("Semantic").alias("clone_type"))
 
 
-_KNN = f"{_V}, k AS (SELECT a.id AS query_id, b.id AS method_id, {_COS} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS rank FROM v a, v b)"
+_KNN = f"{_V}, k AS (SELECT a.id AS query_id, b.id AS method_id, {_COS} AS score, row_number() OVER (PARTITION BY a.id ORDER BY round({_COS},6) DESC, b.id) AS rank FROM v a, v b)"
 _SEM = f"{_KNN}, sem AS (SELECT least(query_id, method_id) AS a, greatest(query_id, method_id) AS b, max(score) AS s FROM k WHERE rank<=11 AND query_id<>method_id AND score>=0.4 GROUP BY 1,2)"
 query("knn_topk", f"WITH {_KNN} SELECT query_id, method_id, CAST(rank AS INTEGER) AS rank, round(score,4) AS score FROM k WHERE rank<=11")(lambda s, d: S.knn(_vectors(s, d), 10).select("query_id", "method_id", "rank", F.round("score", 4).alias("score")))
 query("semantic_clones", f"WITH {_SEM} SELECT a AS method_id_a, b AS method_id_b, round(s,4) AS semantic_similarity FROM sem")(lambda s, d: S.semantic_clones(_vectors(s, d), 0.4).withColumn("semantic_similarity", F.round("semantic_similarity", 4)))
@@ -211,7 +211,7 @@ _VIO = f"{_BASE}, vio AS (SELECT caller_id, callee_id, a.ns AS x, b.ns AS y FROM
 query("dep_violations", f"{_VIO} SELECT * FROM hit")(lambda s, d: A.violations(graph(s, d), RULES).select("caller_id", "callee_id", "rule", "severity"))
 query("dep_violation_counts", f"{_VIO} SELECT rule, count(*) AS n, count(*) FILTER (WHERE severity='Error') AS errors, count(*) FILTER (WHERE severity='Warning') AS warnings FROM hit GROUP BY rule")(lambda s, d: A.violation_counts(A.violations(graph(s, d), RULES)))
 query("calls_checked", f"{_BASE} SELECT count(*) AS calls_checked FROM calls WHERE caller_id IN (SELECT id FROM m)")(lambda s, d: A.calls_checked(graph(s, d)))
-query("zones_first_match", f"{_BASE} SELECT id, full_name, CASE WHEN ns='AMERICA.BRAZIL' THEN '*AMERICA.BRAZIL*' WHEN ns LIKE 'AMERICA.%' THEN '*AMERICA.*' ELSE '*ASIA.*' END AS pattern, CASE WHEN ns='AMERICA.BRAZIL' THEN 'DoNotModify' WHEN ns LIKE 'AMERICA.%' THEN 'RequireApproval' ELSE 'Deprecated' END AS level, CASE WHEN ns='AMERICA.BRAZIL' THEN '[DO NOT MODIFY] a (Contact: b)' WHEN ns LIKE 'AMERICA.%' THEN '[REQUIRES APPROVAL] c' ELSE '[DEPRECATED] d' END AS warning FROM m WHERE ns LIKE 'AMERICA.%' OR ns LIKE 'ASIA.%'")(lambda s, d: A.protected(graph(s, d).methods, ZONES))
+query("zones_first_match", f"{_BASE} SELECT id, full_name, CASE WHEN ns='AMERICA.NATION_6' THEN '*AMERICA.NATION_6*' WHEN ns LIKE 'AMERICA.%' THEN '*AMERICA.*' ELSE '*ASIA.*' END AS pattern, CASE WHEN ns='AMERICA.NATION_6' THEN 'DoNotModify' WHEN ns LIKE 'AMERICA.%' THEN 'RequireApproval' ELSE 'Deprecated' END AS level, CASE WHEN ns='AMERICA.NATION_6' THEN '[DO NOT MODIFY] a (Contact: b)' WHEN ns LIKE 'AMERICA.%' THEN '[REQUIRES APPROVAL] c' ELSE '[DEPRECATED] d' END AS warning FROM m WHERE ns LIKE 'AMERICA.%' OR ns LIKE 'ASIA.%'")(lambda s, d: A.protected(graph(s, d).methods, ZONES))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[T.GraphTables, T.GraphTables]:
@@ -256,4 +256,4 @@ query("tokenize", f"{_BASE} SELECT id, array_to_string(regexp_extract_all(name,
 query("lines_of_code", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(trim(l), '//'))) AS INTEGER) AS loc FROM documents WHERE NOT contains(text, '/*')")(lambda s, d: read(s, d, "documents").where("not contains(text, '/*')").select("doc_id", N.lines_of_code(F.col("text")).alias("loc")))
 query("group_keys", f"{_BASE} SELECT id, ns AS namespace_key, ns||'.'||tname AS type_key, tname||'.'||name AS tail, name AS short FROM m")(lambda s, d: graph(s, d).methods.select("id", N.group_key(F.col("full_name")).alias("namespace_key"), N.group_key(F.col("full_name"), "type").alias("type_key"), N.tail_name(F.col("full_name")).alias("tail"), N.short_name(F.col("full_name")).alias("short")))
 query("first_wins", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda s, d: T.first_wins(read(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"]))
-query("resolve_method", f"{_BASE} SELECT id, full_name, CAST(3 AS INTEGER) AS kind, (SELECT count(*) FROM m WHERE full_name ILIKE '%BRAZIL%')=1 AS unique FROM m WHERE full_name ILIKE '%BRAZIL%'")(lambda s, d: R.resolve_method(graph(s, d), "brazil"))
+query("resolve_method", f"{_BASE} SELECT id, full_name, CAST(3 AS INTEGER) AS kind, (SELECT count(*) FROM m WHERE full_name ILIKE '%NATION_6%')=1 AS unique FROM m WHERE full_name ILIKE '%NATION_6%'")(lambda s, d: R.resolve_method(graph(s, d), "nation_6"))

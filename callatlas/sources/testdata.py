@@ -10,7 +10,6 @@ from callatlas.sources.tables import GraphTables
 
 #: Orders whose lines make calls: those of a number that it divides.
 CALL_ORDERS = 20
-BASELINE_BEFORE = "1997-01-01"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
