@@ -13,7 +13,7 @@ class Logistic:
     """Ridge logistic regression over standardized columns, fitted by Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25):
-        x = np.asarray(x, float).reshape(len(y), -1)
+        x = np.asarray(x, float)
         self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
         self.scale = np.where((s := x.std(0) if len(x) else np.zeros(x.shape[1])) > 1e-9, s, 1.0)
         a = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])

@@ -34,6 +34,8 @@ MIN_DOCS, MIN_LOG_ODDS = 4, 2.5
 #: Tokens of a lane, and tokens on both sides that only warm up the messages: influence decays geometrically.
 LANE, WARM = 1024, 64
 CACHE_WORDS = 400_000
+#: Log odds of every document if nothing is labelled.
+NO_LABELS = -4.0
 _TOKEN = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 SCHEMA = "doc_id long, score double, sum_marginal double, max_marginal double, n_tokens long, spans array<struct<start:int,end:int>>"
 
@@ -213,7 +215,8 @@ def train_fold(labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> ToxicityModel:
     """Fit the chain and the document judge to labelled documents of the training folds.
 
-    Without any toxic, or any other, labelled document the model scores every text alike, by the rate seen.
+    Without any toxic, or any other, labelled document the model scores texts by the rate seen; without any labelled
+    document at all none is toxic.
     """
     bound_arrow_batches(docs.sparkSession)
     chosen = F.broadcast(train_fold(labels, limit))  # at most `limit` pairs of numbers
@@ -273,7 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Toxicity
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums), pa.array(tops), pa.array(sizes)], names=["toxic", "s", "top", "n"])
 
     found = np.array([tuple(r) for r in sample.select("toxic", "text").mapInArrow(measure, "toxic int, s double, top double, n long").collect()], float).reshape(-1, 4)
-    return ToxicityModel(chain, Logistic(evidence(found[:, 1], found[:, 2], found[:, 3]), (found[:, 0] > 0).astype(float)))
+    judge = Logistic(evidence(found[:, 1], found[:, 2], found[:, 3]), (found[:, 0] > 0).astype(float))
+    if not len(found):
+        judge.weights[0] = NO_LABELS
+    return ToxicityModel(chain, judge)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, below: float | None = None) -> DataFrame:
