@@ -268,3 +268,26 @@ def test_hash_embedding_is_unit(spark):
     assert {r.id for r in rows} == {"a"} and abs(sum(r.val**2 for r in rows) - 1) < 1e-9
     assert [r.id for r in S.search_tokens(spark, cells, "get user by id").collect()] == ["a"]
     assert len(S.dense(cells).first().vector) == 384
+
+
+def test_context_card(shop):
+    from callatlas.operators.context import context
+
+    r = context(shop, P).first()
+    assert (r.cognitive_complexity, r.lines_of_code, r.nesting_depth, r.n_callees, r.n_callers) == (25, 50, 5, 3, 0)
+    assert r.callees == sorted([S_, V, U]) and "high complexity" in r.notes
+
+
+def test_build_and_cli(spark, shop, tmp_path, capsys):
+    from callatlas import cli
+    from callatlas.operators.context import build
+    from callatlas.sources.tables import conform
+
+    texts = spark.createDataFrame([(m[0], "if ( a ) { b ; c ; d }", "order user save") for m in METHODS], "method_id string, structural_signature string, semantic_payload string")
+    t = build(shop.with_tables(normalized_methods=conform(texts, "normalized_methods")))
+    T.save(t, str(tmp_path))
+    assert {r.method_id: (r.blast_radius, r.blast_depth) for r in T.load(spark, str(tmp_path)).metrics.collect()}[U] == (2, 2)
+    root = ["--root", str(tmp_path)]
+    for args in (["hotspots"], ["--format", "json", "impact", "UserService.GetUser"], ["--format", "table", "layers"], ["duplicates"], ["clusters"], ["--format", "csv", "coupling"], ["query", '{"seed": {"namespace": "TestNs"}}'], ["save-baseline"], ["drift"], ["token-search", "order user save"]):
+        assert cli.main([*root, *args]) == 0
+    assert "ProcessOrder" in capsys.readouterr().out
