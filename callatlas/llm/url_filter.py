@@ -1,8 +1,9 @@
 """URL filtering by host and path rules, and by association rules mined with Spark's FP-growth.
 
 Listed rules come first: a rule fits its host and all subdomains if the url's path starts with the rule's, the longest
-rule wins. Other urls are judged by mined rules: labelled urls become sets of tokens (labels of the host, its suffixes,
-path segments, extension, query keys, fragment) with an item for their label; FP-growth finds frequent combinations,
+rule wins. Other urls are judged by mined rules: labelled urls (by a table of labels, and those that a listed rule
+decides) become sets of tokens (suffixes of the host, words of hyphenated host names, path segments, extension, query
+keys) with an item for their label; FP-growth finds frequent combinations,
 rules from tokens to the bad label are kept by support, confidence and lift, and met through an inverted index: each
 rule is listed under its rarest token and its other tokens are checked on meeting. Only DataFrame operations.
 """
@@ -13,10 +14,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callatlas.llm.common import materialize
+
 #: Rules as text: host, then path; allow or block.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MAX_RULES = 500
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.2
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.8, 1.2
 #: Tokens of a mined rule at most.
 MAX_TOKENS = 4
 #: Labelled urls that a mined rule needs.
@@ -51,12 +54,12 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     """The distinct tokens of a url, without numbers; empty for urls without a host."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(3))), lambda n: F.concat(F.lit("host="), F.call_function("substring_index", host, F.lit("."), -n)))
-    named = F.transform(labels, lambda s: F.concat(F.lit("name="), s))
     inside = F.transform(F.filter(F.split(path, r"[/.]"), lambda s: (s != "") & ~s.rlike("^[0-9]+$")), lambda s: F.concat(F.lit("path="), s))
     after = F.coalesce(F.regexp_extract(url, r"(?s)^[^#]*?\?([^#]*)", 1), F.lit(""))
     keys = F.transform(F.filter(F.split(after, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("key="), F.substring_index(s, "=", 1)))
-    words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda s: s != ""), lambda s: F.concat(F.lit("word="), s))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, named, words, inside, keys)))
+    parts = F.flatten(F.transform(F.filter(labels, lambda s: F.contains(s, F.lit("-"))), lambda s: F.split(s, "-")))
+    words = F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.concat(F.lit("word="), s))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, words, inside, keys)))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
@@ -90,15 +93,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and, where mined rules met the url, the confidence of the best as `mined`.
 
-    `labels` holds page_id and bad (boolean). One row per row of pages; null urls and urls without `://` have an empty
+    `labels` holds page_id and bad (boolean); a listed rule's verdict goes before them. One row per row of pages; null urls and urls without `://` have an empty
     host and path, fit no rule and are allowed; ties and repeated rows give equal verdicts.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    known = base.join(labels.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").alias("bad")).where("bad is not null"), "page_id")
-    mined = mine(known.select("tokens", "bad")).cache()
+    given = labels.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").alias("bad"))
+    known = base.join(given, "page_id", "left").select("tokens", F.when(F.col("listed").isNotNull(), F.col("listed") == "block").otherwise(F.col("bad")).alias("bad")).where("bad is not null and size(tokens) > 0")
+    mined = materialize(mine(materialize(known, "known-urls")), "mined-rules")
     rarity = mined.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     spread = mined.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(rarity, "token")
     index = spread.groupBy("antecedent", "confidence").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
