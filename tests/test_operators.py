@@ -88,7 +88,7 @@ def test_blast_radius(spark, pairs, names, want):
 
 
 def test_chain(spark):
-    n = 200
+    n = 300
     rows = {r.id: r for r in G.blast_radius(edges_of(spark, [(f"m{i}", f"m{i + 1}") for i in range(n - 1)])).collect()}
     assert (rows[f"m{n - 1}"].transitive_callers, rows[f"m{n - 1}"].blast_depth) == (n - 1, n - 1)
 
