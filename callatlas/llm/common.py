@@ -1,13 +1,14 @@
-"""Shared plumbing of the training-data operators: table access, shared storage, bounded Python caches."""
+"""Shared plumbing of the training-data operators: table access, shared storage, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callatlas.sources.scratch import materialize, shared_dir
+
+__all__ = ["bound_arrow_batches", "materialize", "read_table", "scratch_path", "shared_dir"]
 #: Bytes of one Arrow batch handed to a Python worker, so that very long texts cannot pile up in memory.
 ARROW_BATCH_BYTES = 4 << 20
 #: Rows of one Arrow batch handed to a Python worker.
@@ -26,51 +27,5 @@ def bound_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext.getCheckpointDir()
-        if set_dir is None:
-            set_dir = tempfile.mkdtemp(prefix="callatlas-")
-            spark.sparkContext.setCheckpointDir(set_dir)
-            set_dir = spark.sparkContext.getCheckpointDir()
-        found = set_dir
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's own file system client."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class BoundedCache(dict):
-    """A word cache for Python workers: holds at most `limit` entries, then starts afresh. Results never depend on it."""
-
-    def __init__(self, limit: int, compute: Callable[[list], Iterable]):
-        super().__init__()
-        self.limit, self.compute = limit, compute
-
-    def fill(self, words: Iterable) -> None:
-        """After this every one of `words` is present."""
-        wanted = set(words)
-        new = [w for w in wanted if w not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(wanted)
-        if new:
-            self.update(zip(new, self.compute(new), strict=True))
