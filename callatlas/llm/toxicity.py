@@ -26,7 +26,9 @@ from callatlas.llm.linear import Logistic, sigmoid
 #: Labelled documents that the model is fitted to at most: the first by a hash of their ids.
 TRAIN_DOCS = 16_000
 #: Of these, documents that the chain's weights are trained on, at most; half of them toxic if there are as many.
-CHAIN_DOCS = 2_000
+CHAIN_DOCS = 1_200
+#: Padded tokens that training holds messages of at a time.
+CHAIN_CELLS = 200_000
 #: Features that the model holds at most.
 MAX_FEATURES = 5_000
 #: Toxic documents that a feature needs, and its least log odds.
@@ -145,24 +147,30 @@ def train_chain(docs: list[tuple[int, int, list[int], list[list[int]]]], names:
     prev = np.concatenate([[0.0], gold[:-1]])
     inner = ~first
     seen = np.array([((1 - prev) * gold)[inner].sum(), (prev * (1 - gold))[inner].sum(), (prev * gold)[inner].sum()])
+    blocks, lo = [], 0  # documents of like lengths, of bounded padded size together
+    while lo < len(docs):
+        hi = lo + max(1, CHAIN_CELLS // int(sizes[lo]))
+        blocks.append((lo, min(hi, len(docs))))
+        lo = hi
     x = np.concatenate([np.zeros(len(names)), [chain.bias, chain.start], chain.steps])
     m, v = np.zeros_like(x), np.zeros_like(x)
     n_f = len(names)
     for step in range(1, rounds + 1):
         chain = Chain({}, x[n_f], x[n_f + 1], tuple(x[n_f + 2 :]))
         unary = np.full(total, chain.bias) + np.bincount(token, weights=x[feat], minlength=total)
-        u, f, b, active = forward_backward(chain, unary, starts, sizes)
-        p = f * b
-        p /= 1 + p
-        time = np.arange(len(p))[:, None]
-        mask = time < sizes[None, :]
-        flat = np.zeros(total)
-        flat[(starts[None, :] + time)[mask]] = p[mask]
+        flat, expected = np.zeros(total), np.zeros(3)
         e01, e10, e11 = np.exp(chain.steps)
-        w01, w10, w11 = e01 * u[1:] * b[1:], e10 * f[:-1], e11 * f[:-1] * u[1:] * b[1:]
-        z = 1 + w01 + w10 + w11
-        inside = mask[1:]
-        expected = np.array([(w / z)[inside].sum() for w in (w01, w10, w11)])
+        for lo, hi in blocks:
+            at, n = starts[lo:hi], sizes[lo:hi]
+            u, f, b, _ = forward_backward(chain, unary, at, n)
+            p = f * b
+            p /= 1 + p
+            time = np.arange(len(p))[:, None]
+            mask = time < n[None, :]
+            flat[(at[None, :] + time)[mask]] = p[mask]
+            w01, w10, w11 = e01 * u[1:] * b[1:], e10 * f[:-1], e11 * f[:-1] * u[1:] * b[1:]
+            z, inside = 1 + w01 + w10 + w11, mask[1:]
+            expected += [(w / z)[inside].sum() for w in (w01, w10, w11)]
         miss = gold - flat
         grad = np.concatenate([np.bincount(feat, weights=miss[token], minlength=n_f), [miss.sum(), miss[first].sum()], seen - expected])
         grad = grad - 0.1 * x
@@ -244,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Toxicity
 
     counted = sample.select("toxic", "text").mapInArrow(tally, "feature binary, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.where(f"toxic >= {MIN_DOCS} or feature = X''")
+    counted = materialize(counted, "toxicity-features")
     total = counted.agg(F.sum(F.expr("case when feature = X'' then toxic end")).alias("t"), F.sum(F.expr("case when feature = X'' then clean end")).alias("c"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("t") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("c") + 1))
     scored = counted.crossJoin(F.broadcast(total)).withColumn("odds", odds)  # one row beside each
@@ -265,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Toxicity
 
     halves = [sample.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CHAIN_DOCS // 2) for c in ("toxic > 0", "toxic <= 0")]
     rows = [r for h in halves for r in h.select("toxic", "text").mapInArrow(spots, "toxic int, n long, places array<int>, found array<array<int>>").collect()]
-    chain = train_chain([(int(r[0] > 0), r[1], r[2], r[3]) for r in rows if r[1] <= 4 * LANE], names)
+    chain = train_chain([(int(r[0] > 0), r[1], r[2], r[3]) for r in rows if r[1] <= 2 * LANE], names)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
