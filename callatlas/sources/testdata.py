@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from callatlas.sources.tables import GraphTables
 
-#: Orders whose lines make calls: those of a number that it divides.
-CALL_ORDERS = 20
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> DataFrame:
     """Consecutive parts of an order call each other; with `cyclic` in any direction, else from smaller to larger."""
-    lines = read(spark, sf_dir, "lineitem").where(f"l_orderkey % {CALL_ORDERS} = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     pairs = lines.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"))
     pairs = pairs.where("a <> b" if cyclic else "a < b").distinct()
