@@ -56,7 +56,8 @@ def build(t: T.GraphTables, full: bool = True) -> T.GraphTables:
     if t.embeddings.isEmpty():
         out = out.with_tables(embeddings=similarity.dense(similarity.hash_embedding(t.normalized_methods, "method_id", "semantic_payload")).withColumn("model_version", F.lit("hash")))
     semantic = similarity.semantic_clones(out.embeddings).select(F.col("method_id_a").alias("a"), F.col("method_id_b").alias("b"), F.col("semantic_similarity").alias("similarity"))
-    structural = similarity.structural_clones(t.normalized_methods).select("a", "b", "similarity")
+    classes = similarity.structural_clones(t.normalized_methods).select("a", "b", "similarity")
+    structural = similarity.member_pairs(classes, similarity.structural_members(t.normalized_methods))
     layers = architecture.refine_layers(out, architecture.detect_layers(out))
     out = out.with_tables(clone_pairs=similarity.hybrid(structural, semantic), type_layers=layers)
     if full:

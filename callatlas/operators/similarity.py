@@ -133,6 +133,23 @@ def structural_classes(signatures: DataFrame, id_col: str = "method_id", text_co
     return t.groupBy(F.array_sort(F.array_distinct("bag")).alias("tokens"), F.size("bag").alias("n_bag")).agg(F.min("id").alias("rep"), F.count("*").alias("n_members"))
 
 
+def structural_members(signatures: DataFrame, id_col: str = "method_id", text_col: str = "structural_signature") -> DataFrame:
+    """id and rep (smallest id) of its class of equal token sets and bag sizes, a row for each signature with tokens."""
+    t = signatures.select(F.col(id_col).alias("id"), signature_tokens(F.col(text_col)).alias("bag")).where("size(bag) > 0")
+    t = t.select("id", F.array_sort(F.array_distinct("bag")).alias("tokens"), F.size("bag").alias("n_bag"))
+    return t.join(t.groupBy("tokens", "n_bag").agg(F.min("id").alias("rep")), ["tokens", "n_bag"]).select("id", "rep")
+
+
+def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of class representatives (a, b, similarity) as pairs of all their members, with those inside a class at
+    similarity 1. The output is as long as the classes' sizes multiplied."""
+    m = materialize(members, "members")
+    x, y = m.select(F.col("rep").alias("ra"), F.col("id").alias("a")), m.select(F.col("rep").alias("rb"), F.col("id").alias("b"))
+    inside = x.join(y, F.expr("ra = rb and a < b")).select("a", "b", F.lit(1.0).alias("similarity"))
+    between = pairs.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity").join(x, "ra").join(y, "rb")
+    return inside.union(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
+
+
 def structural_clones(signatures: DataFrame, threshold: float = 0.8, id_col: str = "method_id", text_col: str = "structural_signature") -> DataFrame:
     """Pairs of class representatives with Jaccard similarity of token sets, and ratio of bag sizes, of at least
     `threshold`: a, b, similarity, clone_type. Exact, by prefix filtering: sets that similar share one of their

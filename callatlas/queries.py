@@ -173,6 +173,7 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSES = r"""bag AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(text, '[ (){};,\n\r\t]+'), lambda t: t <> '') AS b FROM documents),
 cls AS (SELECT list_sort(list_distinct(b)) AS t, len(b) AS n_bag, min(id) AS rep, count(*) AS n_members FROM bag WHERE len(b)>0 GROUP BY 1,2)"""
 query("structural_classes", f"WITH {_CLASSES} SELECT rep, CAST(n_bag AS INTEGER) AS n_bag, CAST(len(t) AS INTEGER) AS n_tokens, n_members FROM cls")(lambda s, d: S.structural_classes(_signatures(s, d)).select("rep", "n_bag", F.size("tokens").alias("n_tokens"), "n_members"))
+query("structural_members")(lambda s, d: S.structural_members(_signatures(s, d)))
 query(
     "structural_clones",
     f"WITH {_CLASSES}, w AS (SELECT rep, n_bag, len(t) AS n, unnest(t) AS tok FROM cls), p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c, min(x.n) AS na, min(y.n) AS nb, min(x.n_bag) AS ba, min(y.n_bag) AS bb FROM w x JOIN w y ON x.tok=y.tok AND x.rep<y.rep AND least(x.n,y.n)>=0.8*greatest(x.n,y.n) AND least(x.n_bag,y.n_bag)>=0.8*greatest(x.n_bag,y.n_bag) GROUP BY 1,2) SELECT a, b, round(c*1.0::DOUBLE/(na+nb-c),6) AS similarity, CASE WHEN c*1.0::DOUBLE/(na+nb-c)>0.95 THEN 'Type1' ELSE 'Type2' END AS clone_type FROM p WHERE c*1.0::DOUBLE/(na+nb-c)>=0.8",

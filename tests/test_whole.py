@@ -1,12 +1,16 @@
 """Calls come from the whole table: the graph queries against plain Python and against their SQL over all lines."""
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pyarrow.parquet as pq
 import pytest
 
+from callatlas.operators import similarity as S
+from callatlas.operators.context import build
 from callatlas.queries import QUERIES, SQL
+from callatlas.sources.tables import GraphTables
 from callatlas.sources.testdata import calls
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,3 +65,29 @@ def test_equals_sql_of_all_orders(spark, db, name):
     df = QUERIES[name](spark, SMALL)
     assert sorted(names) == sorted(df.columns)
     assert sorted((tuple(same(r[c]) for c in names) for r in df.collect()), key=str) == want
+
+
+def test_structural_pairs_of_all_members(spark):
+    texts = {"a": "x y z w v", "b": "v w z y x", "c": "x y z w v u", "d": "u v w x y z", "e": "k", "f": " ();"}
+    signatures = spark.createDataFrame(list(texts.items()), "method_id string, structural_signature string")
+    members = S.structural_members(signatures)
+    assert {tuple(r) for r in members.collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e")}
+    got = sorted(tuple(r) for r in S.member_pairs(S.structural_clones(signatures).select("a", "b", "similarity"), members).collect())
+    assert got == sorted([("a", "b", 1.0), ("c", "d", 1.0), *[(p, q, 0.833333) for p in "ab" for q in "cd"]])
+
+
+def test_members_of_every_document(spark, db):
+    rows = {r.id: r.rep for r in QUERIES["structural_members"](spark, SMALL).collect()}
+    sizes = {r.rep: r.n_members for r in QUERIES["structural_classes"](spark, SMALL).collect()}
+    assert Counter(rows.values()) == sizes
+
+
+def test_build_pairs_identical_methods(spark):
+    ids = [f"A.B.M{k}()" for k in range(3)]
+    t = GraphTables(spark).with_tables(
+        methods=spark.createDataFrame([(i, i, i) for i in ids], "id string, full_name string, name string"),
+        normalized_methods=spark.createDataFrame([(i, "if ( a ) { b }", f"word{k}") for k, i in enumerate(ids)], "method_id string, structural_signature string, semantic_payload string"),
+        embeddings=spark.createDataFrame([(i, [1.0, 0.5]) for i in ids], "method_id string, vector array<float>"),
+    )
+    pairs = build(t, full=False).clone_pairs.collect()
+    assert len(pairs) == 3 and {(r.structural_similarity, r.clone_type) for r in pairs} == {(1.0, "Type1")}
