@@ -26,7 +26,7 @@ from callatlas.llm.linear import Logistic, sigmoid
 #: Labelled documents that the model is fitted to at most: the first by a hash of their ids.
 TRAIN_DOCS = 16_000
 #: Of these, documents that the chain's weights are trained on, at most; half of them toxic if there are as many.
-CHAIN_DOCS = 1_200
+CHAIN_DOCS = 2_000
 #: Padded tokens that training holds messages of at a time.
 CHAIN_CELLS = 200_000
 #: Features that the model holds at most.
@@ -126,7 +126,8 @@ def marginals(chain: Chain, unary: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def train_chain(docs: list[tuple[int, int, list[int], list[list[int]]]], names: list[bytes], rounds: int = 60) -> Chain:
     """Fit the chain by Adam steps on the mean log-likelihood. A document: toxic or not, tokens, places of tokens that
-    have features, and these features' numbers. In toxic documents exactly these tokens are labelled toxic."""
+    have features, and these features' numbers. In toxic documents exactly these tokens are labelled toxic. Long
+    documents go in lanes, so each token and each step between two tokens counts once, whatever the length."""
     chain = Chain()
     docs = sorted((d for d in docs if d[1]), key=lambda d: -d[1])
     if not docs or not names:
@@ -147,10 +148,11 @@ def train_chain(docs: list[tuple[int, int, list[int], list[list[int]]]], names:
     prev = np.concatenate([[0.0], gold[:-1]])
     inner = ~first
     seen = np.array([((1 - prev) * gold)[inner].sum(), (prev * (1 - gold))[inner].sum(), (prev * gold)[inner].sum()])
-    blocks, lo = [], 0  # documents of like lengths, of bounded padded size together
-    while lo < len(docs):
-        hi = lo + max(1, CHAIN_CELLS // int(sizes[lo]))
-        blocks.append((lo, min(hi, len(docs))))
+    lane_at, lane_n, kept_from, kept_to = _lanes(sizes)
+    blocks, lo = [], 0  # lanes of like lengths, of bounded padded size together
+    while lo < len(lane_n):
+        hi = lo + max(1, CHAIN_CELLS // int(lane_n[lo]))
+        blocks.append((lo, min(hi, len(lane_n))))
         lo = hi
     x = np.concatenate([np.zeros(len(names)), [chain.bias, chain.start], chain.steps])
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -161,12 +163,12 @@ def train_chain(docs: list[tuple[int, int, list[int], list[list[int]]]], names:
         flat, expected = np.zeros(total), np.zeros(3)
         e01, e10, e11 = np.exp(chain.steps)
         for lo, hi in blocks:
-            at, n = starts[lo:hi], sizes[lo:hi]
-            u, f, b, _ = forward_backward(chain, unary, at, n)
+            at = lane_at[lo:hi]
+            u, f, b, _ = forward_backward(chain, unary, at, lane_n[lo:hi])
             p = f * b
             p /= 1 + p
             time = np.arange(len(p))[:, None]
-            mask = time < n[None, :]
+            mask = (time >= kept_from[None, lo:hi]) & (time < kept_to[None, lo:hi])
             flat[(at[None, :] + time)[mask]] = p[mask]
             w01, w10, w11 = e01 * u[1:] * b[1:], e10 * f[:-1], e11 * f[:-1] * u[1:] * b[1:]
             z, inside = 1 + w01 + w10 + w11, mask[1:]
@@ -274,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Toxicity
 
     halves = [sample.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CHAIN_DOCS // 2) for c in ("toxic > 0", "toxic <= 0")]
     rows = [r for h in halves for r in h.select("toxic", "text").mapInArrow(spots, "toxic int, n long, places array<int>, found array<array<int>>").collect()]
-    chain = train_chain([(int(r[0] > 0), r[1], r[2], r[3]) for r in rows if r[1] <= 2 * LANE], names)
+    chain = train_chain([(int(r[0] > 0), r[1], r[2], r[3]) for r in rows], names)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
