@@ -75,11 +75,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return none
     least = max(MIN_URLS, min_support * n)
     common = labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
-    # at most 1 / min_support tokens per token of a url, so this list is bounded however large the table is
-    useful = [r[0] for r in common.where((F.col("n") >= least) & (F.col("n_bad") >= least * min_confidence) & (F.col("n") <= 0.95 * n)).orderBy(F.desc(F.col("n_bad") / F.col("n")), "token").limit(400).select("token").collect()]
-    if not useful:
+    # at most 1 / min_support tokens per token of a url, so this table is bounded however large the others are
+    useful = materialize(common.where((F.col("n") >= least) & (F.col("n_bad") >= least * min_confidence) & (F.col("n") <= 0.95 * n)).select("token"), "useful-tokens")
+    if useful.isEmpty():
         return none
-    baskets = labelled.select(F.array_intersect("tokens", F.array(*map(F.lit, useful))).alias("items"), "bad").where("size(items) > 0")
+    spread = labelled.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode("tokens").alias("token"))
+    baskets = spread.join(F.broadcast(useful), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))  # a url's tokens
     baskets = baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least * min_confidence / n), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.element_at("consequent", 1) == _BAD) & (F.size("antecedent") <= MAX_TOKENS))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from callatlas.llm import toxicity
+from callatlas.llm import quality, toxicity, url_filter
 
 
 def test_chain_learns_from_long_documents(spark):
@@ -24,3 +24,9 @@ def test_training_in_lanes_agrees_with_whole_sequences(monkeypatch):
     monkeypatch.setattr(toxicity, "LANE", 10_000)
     whole = toxicity.train_chain(docs, names)
     assert np.allclose([*lanes.weights.values(), lanes.bias, lanes.start, *lanes.steps], [*whole.weights.values(), whole.bias, whole.start, *whole.steps], atol=1e-6)
+
+
+def test_rules_of_more_than_400_tokens(spark):
+    rows = [([f"path=t{k % 450}"], True) for k in range(5400)] + [(["path=other"], False)] * 5400 + [(["path=mid"], k < 27) for k in range(30)]
+    rules = {tuple(r.antecedent) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.0005).collect()}
+    assert ("path=mid",) in rules and len(rules) == 451
