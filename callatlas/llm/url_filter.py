@@ -2,7 +2,7 @@
 
 Listed rules come first: a rule fits its host and all subdomains if the url's path starts with the rule's, the longest
 rule wins. Other urls are judged by mined rules: labelled urls (by a table of labels, and those that a listed rule
-decides) become sets of tokens (suffixes of the host, words of hyphenated host names, path segments, extension, query
+decides) become sets of tokens (suffixes of the host, its labels and their words, path segments, extension, query
 keys) with an item for their label; FP-growth finds frequent combinations,
 rules from tokens to the bad label are kept by support, confidence and lift, and met through an inverted index: each
 rule is listed under its rarest token and its other tokens are checked on meeting. Only DataFrame operations.
@@ -19,7 +19,7 @@ from callatlas.llm.common import materialize
 #: Rules as text: host, then path; allow or block.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MAX_RULES = 500
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.8, 1.2
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.2
 #: Tokens of a mined rule at most.
 MAX_TOKENS = 4
 #: Labelled urls that a mined rule needs.
@@ -57,9 +57,9 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     inside = F.transform(F.filter(F.split(path, r"[/.]"), lambda s: (s != "") & ~s.rlike("^[0-9]+$")), lambda s: F.concat(F.lit("path="), s))
     after = F.coalesce(F.regexp_extract(url, r"(?s)^[^#]*?\?([^#]*)", 1), F.lit(""))
     keys = F.transform(F.filter(F.split(after, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("key="), F.substring_index(s, "=", 1)))
-    parts = F.flatten(F.transform(F.filter(labels, lambda s: F.contains(s, F.lit("-"))), lambda s: F.split(s, "-")))
-    words = F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.concat(F.lit("word="), s))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, words, inside, keys)))
+    named = F.transform(labels, lambda s: F.concat(F.lit("name="), s))
+    words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda s: s != ""), lambda s: F.concat(F.lit("word="), s))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, named, words, inside, keys)))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:

@@ -30,3 +30,9 @@ def test_rules_of_more_than_400_tokens(spark):
     rows = [([f"path=t{k % 450}"], True) for k in range(5400)] + [(["path=other"], False)] * 5400 + [(["path=mid"], k < 27) for k in range(30)]
     rules = {tuple(r.antecedent) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.0005).collect()}
     assert ("path=mid",) in rules and len(rules) == 451
+
+
+def test_host_labels_over_many_sites(spark):
+    pages = spark.createDataFrame([(k, f"http://{'casino' if k % 2 else 'fine'}.s{k}.net/{k}") for k in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2 == 1) for k in range(150)], "page_id long, bad boolean")
+    assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in url_filter.judge(pages, labels).collect())
