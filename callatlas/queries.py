@@ -254,7 +254,7 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("tokenize", f"{_BASE} SELECT id, array_to_string(regexp_extract_all(name, '([A-Z]+[a-z]*|[a-z]+|[0-9]+)'), ' ') AS tokens FROM m")(lambda s, d: graph(s, d).methods.select("id", F.array_join(N.tokenize(F.col("name")), " ").alias("tokens")))
-query("lines_of_code", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(trim(l), '//'))) AS INTEGER) AS loc FROM documents WHERE NOT contains(text, '/*')")(lambda s, d: read(s, d, "documents").where("not contains(text, '/*')").select("doc_id", N.lines_of_code(F.col("text")).alias("loc")))
+query("lines_of_code", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(trim(l), '//'))) AS INTEGER) AS loc FROM documents WHERE NOT contains(text, '/*')")(lambda s, d: read(s, d, "documents").select("doc_id", N.lines_of_code(F.col("text")).alias("loc")))
 query("group_keys", f"{_BASE} SELECT id, ns AS namespace_key, ns||'.'||tname AS type_key, tname||'.'||name AS tail, name AS short FROM m")(lambda s, d: graph(s, d).methods.select("id", N.group_key(F.col("full_name")).alias("namespace_key"), N.group_key(F.col("full_name"), "type").alias("type_key"), N.tail_name(F.col("full_name")).alias("tail"), N.short_name(F.col("full_name")).alias("short")))
 query("first_wins", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda s, d: T.first_wins(read(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"]))
 query("resolve_method", f"{_BASE} SELECT id, full_name, CAST(3 AS INTEGER) AS kind, (SELECT count(*) FROM m WHERE full_name ILIKE '%NATION_6%')=1 AS unique FROM m WHERE full_name ILIKE '%NATION_6%'")(lambda s, d: R.resolve_method(graph(s, d), "nation_6"))

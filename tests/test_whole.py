@@ -91,3 +91,9 @@ def test_build_pairs_identical_methods(spark):
     )
     pairs = build(t, full=False).clone_pairs.collect()
     assert len(pairs) == 3 and {(r.structural_similarity, r.clone_type) for r in pairs} == {(1.0, "Type1")}
+
+
+def test_lines_of_code_of_every_document(spark, tmp_path):
+    texts = [(1, "a\n/* b\n c */ d\n// e\n\n", 2), (2, None, 0), (3, "/* x */\ny", 1)]
+    spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in QUERIES["lines_of_code"](spark, str(tmp_path)).collect()} == {(i, n) for i, _, n in texts}
