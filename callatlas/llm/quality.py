@@ -66,9 +66,12 @@ def _site(docs: DataFrame) -> list:
     return [named("source").alias("host"), named("lang").alias("path")]
 
 
-def labelled(labels: DataFrame) -> DataFrame:
-    """doc_id and good (0 or 1) of labelled documents outside the held-out fold; if labels of one document differ: 0."""
-    one = labels.where("doc_id is not null and quality is not null and crc32(cast(cast(doc_id as bigint) as string)) % 5 <> 0")
+def labelled(labels: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id and good (0 or 1) of labelled documents outside the held-out fold, or with `whole` of all; if labels of
+    one document differ: 0."""
+    one = labels.where("doc_id is not null and quality is not null")
+    if not whole:
+        one = one.where("crc32(cast(cast(doc_id as bigint) as string)) % 5 <> 0")
     return one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("good"))
 
 
@@ -102,7 +105,7 @@ def strength(groups: DataFrame, rate: str) -> float:
 def site_posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """host, path, n, global_rate, host_rate, path_rate of every site in docs, shrunk along the hierarchy."""
     sites = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_site(docs))
-    paths = materialize(sites.join(labelled(labels), "doc_id", "left").groupBy("host", "path").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")), "paths")
+    paths = materialize(sites.join(labelled(labels, whole=True), "doc_id", "left").groupBy("host", "path").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")), "paths")
     n, good = paths.agg(F.sum("n"), F.sum("good")).first()
     overall = (float(good or 0) + 1) / (float(n or 0) + 2)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("global_rate", F.lit(overall))

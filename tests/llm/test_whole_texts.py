@@ -36,3 +36,9 @@ def test_host_labels_over_many_sites(spark):
     pages = spark.createDataFrame([(k, f"http://{'casino' if k % 2 else 'fine'}.s{k}.net/{k}") for k in range(200)], "page_id long, url string")
     labels = spark.createDataFrame([(k, k % 2 == 1) for k in range(150)], "page_id long, bad boolean")
     assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in url_filter.judge(pages, labels).collect())
+
+
+def test_sites_count_every_label(spark):
+    docs = spark.createDataFrame([(k, "t", "en", "a") for k in range(100)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    assert [r.n for r in quality.site_posteriors(docs, labels).collect()] == [100]
