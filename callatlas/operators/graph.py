@@ -1,23 +1,30 @@
 """Traversal, closure, blast radius, components and ranking over call edges.
 
-Iterations write every round to shared storage, so neither lineage nor plans grow and a lost executor costs a round at
-most. Reachability doubles path lengths each round: a chain of n calls takes log2(n) rounds.
+Graphs whose edges are measured to be small are walked in memory, from many starts at once; larger ones in DataFrame
+iterations, with equal results. Iterations write every round to shared storage, so neither lineage nor plans grow and a
+lost executor costs a round at most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callatlas.sources.scratch import materialize
+from callatlas.operators.held import Digraph, held, walk_blocks
+from callatlas.sources.scratch import materialize, release
 from callatlas.sources.tables import GraphTables, call_edges
 
 DIRECTIONS = ("callees", "callers", "both")
 #: Weights of blast radius, complexity and coupling in the combined ranking.
 WEIGHTS = (0.4, 0.35, 0.25)
+#: Rounds in which a closure grows by one edge before path lengths double.
+STEPS = 16
 #: Edges of a neighbourhood that order-dependent walks take to the driver at most.
 DRIVER_EDGES = 200_000
 
@@ -33,13 +40,24 @@ def directed(calls: DataFrame, direction: str) -> DataFrame:
 
 def bfs(calls: DataFrame, seeds: DataFrame, direction: str = "callees", max_depth: int | None = 3, known: DataFrame | None = None) -> DataFrame:
     """id and depth of everything reachable from `seeds` (column id); each node once, at its least depth. With
-    `known`, nodes outside it are neither emitted nor expanded."""
+    `known`, nodes outside it are neither emitted nor expanded. Graphs and seeds of a measured small size are walked in
+    memory, others a level at a time in DataFrames."""
+    spark = calls.sparkSession
     edges = directed(calls, direction)
     if known is not None:
         edges = edges.join(known.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
         seeds = seeds.join(known.select("id"), "id", "left_semi")
-    edges = materialize(edges, "edges") if max_depth is None or max_depth > 2 else edges
-    frontier = seeds.select("id").distinct()
+    edges = materialize(edges, "edges")
+    frontier = materialize(seeds.select("id").distinct(), "seeds")
+    table = held(edges)
+    first = None if table is None else held(frontier)
+    if first is not None:
+        g, names = Digraph.of(table), first.column(0).to_pylist()
+        depth = g.levels(g.numbers(names), max_depth)
+        found = np.flatnonzero(depth >= 0)
+        alone = sorted(set(names) - set(g.names[found].tolist()))  # seeds without edges
+        ids, depths = [*g.names[found].tolist(), *alone], [*depth[found].tolist(), *[0] * len(alone)]
+        return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.string()), "depth": pa.array(depths, pa.int32())}), "id string, depth int")
     levels = [frontier.withColumn("depth", F.lit(0))]
     depth = 0
     while max_depth is None or depth < max_depth:
@@ -55,23 +73,47 @@ def bfs(calls: DataFrame, seeds: DataFrame, direction: str = "callees", max_dept
     return reduce(DataFrame.union, levels)
 
 
-def closure(edges: DataFrame, longest: bool = False) -> DataFrame:
-    """src, dst, d of all connected ordered pairs over edges src, dst; d is the shortest path's length or, for acyclic
-    edges, the `longest`'s. A node on a cycle reaches itself.
-
-    Path lengths double each round. A path longer than 2^k begins with one of exactly 2^k, so only pairs at that very
-    distance are joined with all others: a chain of n calls makes about n^2 rows in all and not n^3."""
-    pick = F.max if longest else F.min
-    paths = materialize(edges.select("src", "dst").distinct().withColumn("d", F.lit(1)), "paths")
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst, d of all connected ordered pairs over edges src, dst; d is the shortest path's length. A node on a
+    cycle reaches itself. The result has as many rows as there are such pairs, up to the square of the nodes.
+
+    A graph of a measured small size is broadcast and its nodes walk it in blocks, one task for each block, that many
+    starts at a time. A larger one goes in DataFrames: pairs grow by one edge for STEPS rounds, so that a dense graph
+    costs its pairs times the degree, then path lengths double, so that a deep one takes few rounds: a path longer
+    than k begins with one of exactly k, so only pairs at that very distance are joined with all others."""
+    edges = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    table = held(edges)
+    if table is not None:
+        g = Digraph.of(table)
+        return walk_blocks(edges.sparkSession, g, np.arange(len(g.names)), _pairs_of_block, "src string, dst string, d int")
+    paths = front = materialize(edges.withColumn("d", F.lit(1)), "paths")
     reach = 1
-    while True:
-        front = paths.where(F.col("d") == reach)
-        if front.isEmpty():
-            return paths
-        a, b = front.select("src", F.col("dst").alias("mid"), F.col("d").alias("d1")), paths.select(F.col("src").alias("mid"), "dst", F.col("d").alias("d2"))
-        longer = a.join(b, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("d"))
-        paths = materialize(paths.union(longer).groupBy("src", "dst").agg(pick("d").alias("d")), "paths")
-        reach *= 2
+    while not front.isEmpty():
+        if reach < STEPS:
+            grown = front.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+            front = materialize(grown.join(paths.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(reach + 1).alias("d")), "front")
+            before, paths = paths, materialize(paths.union(front), "paths")
+            reach += 1
+        else:
+            a, b = front.select("src", F.col("dst").alias("mid"), F.col("d").alias("d1")), paths.select(F.col("src").alias("mid"), "dst", F.col("d").alias("d2"))
+            longer = a.join(b, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("d"))
+            before, paths = paths, materialize(paths.union(longer).groupBy("src", "dst").agg(F.min("d").alias("d")), "paths")
+            reach *= 2
+            front = paths.where(F.col("d") == reach)
+        release(before)
+    return paths
+
+
+def _pairs_of_block(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for d, nodes, rows in g.spread(starts):
+        for k in range(0, len(nodes), 1024):
+            at, start = np.nonzero(_bits(rows[k : k + 1024], len(starts)))
+            yield pa.RecordBatch.from_arrays([pa.array(g.names[starts[start]], pa.string()), pa.array(g.names[nodes[k : k + 1024][at]], pa.string()), pa.array(np.full(len(at), d, np.int32))], names=["src", "dst", "d"])
+
+
+def _bits(rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows of bits as rows of 0 and 1, one for each of n starts."""
+    return np.unpackbits(rows.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, :n]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -100,47 +142,118 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def blast_depth(t: GraphTables, reach: DataFrame | None = None) -> DataFrame:
-    """id and depth: the longest path from any entry point. Calls within a cycle count as one node (the depth would
-    not be finite otherwise), so acyclic graphs get exact path lengths; unreachable nodes 0."""
-    edges = call_edges(t.method_calls, t.methods).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))
+    """id and blast_depth: the longest path from any entry point. Calls within a cycle count as one node (the depth
+    would not be finite otherwise), so acyclic graphs get exact path lengths; nodes without callers 0.
+
+    Beyond a measured small size it goes a level at a time: nodes at the end of a path of k calls from a root, for
+    k = 0, 1, ...; cycles are found with `reach`, the closure."""
+    edges = materialize(call_edges(t.method_calls, t.methods).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), "edges")
+    table = held(edges)
+    if table is not None:
+        g = Digraph.of(table)
+        far = t.spark.createDataFrame(pa.table({"id": pa.array(g.names, pa.string()), "blast_depth": pa.array(g.longest(), pa.int32())}), "id string, blast_depth int")
+        return t.methods.select("id").join(far, "id", "left").select("id", F.coalesce("blast_depth", F.lit(0)).alias("blast_depth"))
     reach = closure(edges) if reach is None else reach
     back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    cyclic = reach.join(back, ["src", "dst"], "left_semi").groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("scc"))
-    if cyclic.isEmpty():
-        dag, scc = edges, None
-    else:
-        scc = materialize(cyclic.select(F.col("src").alias("id"), "scc"), "scc")
-        dag = edges.join(scc.select(F.col("id").alias("src"), F.col("scc").alias("s")), "src", "left").join(scc.select(F.col("id").alias("dst"), F.col("scc").alias("e")), "dst", "left")
-        dag = dag.select(F.coalesce("s", "src").alias("src"), F.coalesce("e", "dst").alias("dst")).where("src <> dst").distinct()
-    paths = closure(dag, longest=True)
-    roots = dag.select(F.col("src").alias("id")).distinct().join(dag.select(F.col("dst").alias("id")), "id", "left_anti")
-    far = paths.join(roots.select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.max("d").alias("blast_depth")).withColumnRenamed("dst", "node")
-    ids = t.methods.select("id")
-    ids = ids.withColumn("node", F.col("id")) if scc is None else ids.join(scc, "id", "left").select("id", F.coalesce("scc", "id").alias("node"))
+    cyclic = materialize(reach.join(back, ["src", "dst"], "left_semi").groupBy("src").agg(F.min("dst").alias("scc")), "scc")
+    dag = edges.join(cyclic.select("src", F.col("scc").alias("s")), "src", "left").join(cyclic.select(F.col("src").alias("dst"), F.col("scc").alias("e")), "dst", "left")
+    dag = materialize(dag.select(F.coalesce("s", "src").alias("src"), F.coalesce("e", "dst").alias("dst")).where("src <> dst").distinct(), "dag")
+    level = dag.select(F.col("src").alias("node")).distinct().join(dag.select(F.col("dst").alias("node")), "node", "left_anti")
+    far = level.select("node", F.lit(0).alias("blast_depth"))
+    depth = 0
+    while True:
+        depth += 1
+        level = materialize(dag.join(level.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct(), "level")
+        if level.isEmpty():
+            break
+        far = materialize(far.union(level.select("node", F.lit(depth).alias("blast_depth"))).groupBy("node").agg(F.max("blast_depth").alias("blast_depth")), "depths")
+    ids = t.methods.select("id").join(cyclic.select(F.col("src").alias("id"), "scc"), "id", "left").select("id", F.coalesce("scc", "id").alias("node"))
     return ids.join(far, "node", "left").select("id", F.coalesce("blast_depth", F.lit(0)).alias("blast_depth"))
 
 
 def blast_radius(t: GraphTables, max_entry_points: int = 5) -> DataFrame:
     """id, direct and transitive callers (never itself), longest depth from an entry point and, nearest first, names of
-    up to `max_entry_points` entry points of every method. Calls from or to unknown methods don't count."""
+    up to `max_entry_points` entry points of every method. Calls from or to unknown methods don't count.
+
+    Of a graph of a measured small size no pair leaves a task: each block of starts sends, for every node it reaches,
+    how many of its starts do and the nearest entry points among them."""
     edges = materialize(call_edges(t.method_calls, t.methods).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), "edges")
-    reach = closure(edges)
     direct = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct_callers"))
-    above = reach.where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("transitive_callers"))
     roots = t.methods.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("src"), "full_name")
-    near = W.partitionBy("dst").orderBy("d", "src")  # Spark cuts each partition to the first ranks before shuffling
-    named = reach.join(roots, "src").withColumn("rn", F.row_number().over(near)).where(F.col("rn") <= max_entry_points)
+    table, reach = held(edges), None
+    if table is not None:
+        g = Digraph.of(table)
+
+        def emit(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield _reached(g, starts, max_entry_points)
+
+        parts = materialize(walk_blocks(t.spark, g, np.arange(len(g.names)), emit, "dst string, n long, near array<struct<d:int,src:string>>"), "reached")
+        above = parts.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("transitive_callers"))
+        near = parts.select("dst", F.explode("near").alias("e")).select("dst", "e.d", "e.src")
+    else:
+        reach = closure(edges)
+        above = reach.where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("transitive_callers"))
+        near = reach
+    order = W.partitionBy("dst").orderBy("d", "src")  # Spark cuts each partition to the first ranks before shuffling
+    named = near.join(roots, "src").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_entry_points)
     names = named.groupBy(F.col("dst").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "full_name"))), lambda s: s["full_name"]), ",").alias("entry_points"))
     out = t.methods.select("id").join(direct, "id", "left").join(above, "id", "left").join(blast_depth(t, reach), "id").join(names, "id", "left")
     return out.select("id", F.coalesce("direct_callers", F.lit(0)).alias("direct_callers"), F.coalesce("transitive_callers", F.lit(0)).alias("transitive_callers"), "blast_depth", F.coalesce("entry_points", F.lit("")).alias("entry_points"))
 
 
+def _reached(g: Digraph, starts: np.ndarray, most: int) -> pa.RecordBatch:
+    """Every node that a block's starts reach: how many do (itself not counted), and of those that nothing calls the
+    `most` nearest, by distance and then name."""
+    n = np.zeros(len(g.names), np.int64)
+    found = np.zeros(len(g.names), np.int64)
+    entry = np.bincount(g.dst, minlength=len(g.names))[starts] == 0
+    near: list[list[dict]] = [[] for _ in range(len(g.names))]
+    names = g.names[starts]
+    for d, nodes, rows in g.spread(starts):
+        bits = _bits(rows, len(starts))
+        n[nodes] += bits.sum(1, dtype=np.int64) - (bits & (nodes[:, None] == starts[None, :])).sum(1, dtype=np.int64)
+        want = np.flatnonzero(found[nodes] < most)
+        for k, s in zip(*np.nonzero(bits[want] & entry)):
+            node = nodes[want[k]]
+            if found[node] < most:
+                found[node] += 1
+                near[node].append({"d": d, "src": names[s]})
+    at = np.flatnonzero(n)
+    kind = pa.list_(pa.struct([("d", pa.int32()), ("src", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array(g.names[at], pa.string()), pa.array(n[at]), pa.array([near[k] for k in at], kind)], names=["dst", "n", "near"])
+
+
 def blast_radius_of(calls: DataFrame, method_id: str) -> int:
     """Transitive callers of one method over all stored calls; counts itself if it is on a cycle."""
-    spark = calls.sparkSession
-    edges = directed(calls, "callers")
-    first = edges.where(F.col("src") == method_id).select(F.col("dst").alias("id")).distinct()
-    return bfs(calls, first, "callers", None).count() if spark is not None and not first.isEmpty() else 0
+    first = directed(calls, "callers").where(F.col("src") == method_id).select(F.col("dst").alias("id")).distinct()
+    return bfs(calls, first, "callers", None).count()
+
+
+def callers_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and br, the number of nodes that reach each of `nodes` (column id) over edges src, dst; one on a cycle counts
+    itself. Only these nodes are walked from, backwards; those that nothing reaches have no row."""
+    back = materialize(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct(), "back")
+    asked = materialize(nodes.select("id").distinct(), "asked")
+    table = held(back)
+    names = None if table is None else held(asked)
+    if names is not None:
+        g = Digraph.of(table)
+
+        def emit(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(starts), np.int64)
+            for _, _, rows in g.spread(starts):
+                for k in range(0, len(rows), 4096):
+                    n += _bits(rows[k : k + 4096], len(starts)).sum(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g.names[starts], pa.string()), pa.array(n)], names=["id", "br"])
+
+        return walk_blocks(edges.sparkSession, g, np.unique(g.numbers(names.column(0).to_pylist())), emit, "id string, br long").where("br > 0")
+    front = materialize(back.join(asked.withColumnRenamed("id", "src"), "src", "left_semi"), "front")
+    seen = front
+    while not front.isEmpty():
+        grown = front.select("src", F.col("dst").alias("mid")).join(back.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        front = materialize(grown.join(seen, ["src", "dst"], "left_anti"), "front")
+        seen = materialize(seen.union(front), "seen")
+    return seen.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("br"))
 
 
 def impact(t: GraphTables, method_id: str, max_depth: int | None = None) -> DataFrame:
@@ -196,12 +309,11 @@ def walk(t: GraphTables, seed: str, direction: str = "callees", max_depth: int =
     return out
 
 
-def rank(t: GraphTables, nodes: DataFrame, by: str = "combined", reach: DataFrame | None = None) -> DataFrame:
+def rank(t: GraphTables, nodes: DataFrame, by: str = "combined") -> DataFrame:
     """Score of nodes (column id): blast radius, complexity, coupling, or all three, each over its greatest among the
     nodes, weighted. A single node scores 0."""
     edges = t.method_calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).where("src <> dst").distinct()
-    reach = closure(edges) if reach is None else reach
-    br = reach.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("br"))
+    br = callers_of(edges, nodes)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("coup"))
     cc = t.metrics.select(F.col("method_id").alias("id"), F.col("cognitive_complexity").alias("cc"))
     rows = nodes.select("id").join(br, "id", "left").join(ends, "id", "left").join(cc, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("br", "cc", "coup")])

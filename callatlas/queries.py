@@ -38,7 +38,7 @@ def _methods(name: str = "m", per: str = "lineitem") -> str:
  CASE WHEN p_partkey%4=0 THEN 'Private' ELSE 'Public' END AS accessibility, p_partkey%11=0 AS is_override, p_partkey%13=0 AS is_abstract FROM part JOIN per_{name} ON p_partkey=l_partkey JOIN places USING (s_suppkey))"""
 
 
-_CALLS = """calls AS (SELECT DISTINCT CAST(a AS VARCHAR) AS caller_id, CAST(b AS VARCHAR) AS callee_id FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey) AS b FROM lineitem WHERE l_orderkey%20=0) WHERE a<b)"""
+_CALLS = """calls AS (SELECT DISTINCT CAST(a AS VARCHAR) AS caller_id, CAST(b AS VARCHAR) AS callee_id FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey) AS b FROM lineitem) WHERE a<b)"""
 _CYCLIC = _CALLS.replace("WHERE a<b)", "WHERE a<>b)").replace("calls AS", "cyc AS")
 _BASE = f"WITH RECURSIVE {_PLACES}, {_methods()}, {_CALLS}"
 _OLD = f"old AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '{CUTOFF}')), {_methods('b', 'old')}"
@@ -95,10 +95,12 @@ _DOWN, _UP = "SELECT caller_id AS src, callee_id AS dst FROM calls", "SELECT cal
 query("bfs_callees_d3", f"{_BASE}, {_TOP_CALLER}, {_BFS.format(edges=_DOWN, depth=3)}")(lambda s, d: G.bfs(calls(s, d), _seed(s, _top(s, d, "caller_id")), "callees", 3))
 query("bfs_callers_d3", f"{_BASE}, {_TOP_CALLEE}, {_BFS.format(edges=_UP, depth=3)}")(lambda s, d: G.bfs(calls(s, d), _seed(s, _top(s, d, "callee_id")), "callers", 3))
 query("bfs_both_d3", f"{_BASE}, {_TOP_CALLEE}, {_BFS.format(edges=f'{_DOWN} UNION {_UP}', depth=3)}")(lambda s, d: G.bfs(calls(s, d), _seed(s, _top(s, d, "callee_id")), "both", 3))
-_REACH = f"r(src, dst, d) AS (SELECT caller_id, callee_id, 1 FROM calls UNION SELECT r.src, callee_id, d+1 FROM r JOIN calls ON caller_id=r.dst)"
-query("impact", f"{_BASE}, {_TOP_CALLEE}, {_REACH} SELECT x.id, m.full_name, CAST(x.depth AS INTEGER) AS depth, NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=x.id) AS is_entry FROM (SELECT id, 0 AS depth FROM seed UNION ALL SELECT src, min(d) FROM r JOIN seed ON dst=id GROUP BY src) x JOIN m ON m.id=x.id")(lambda s, d: G.impact(graph(s, d), _top(s, d, "callee_id")))
-query("impact_summary", f"{_BASE}, {_TOP_CALLEE}, {_REACH}, x AS (SELECT id, 0 AS depth FROM seed UNION ALL SELECT src, min(d) FROM r JOIN seed ON dst=id GROUP BY src) SELECT count(*) AS affected, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=x.id)) AS entry_points, CAST(max(depth) AS INTEGER) AS max_depth FROM x")(lambda s, d: G.impact_summary(G.impact(graph(s, d), _top(s, d, "callee_id"))))
-query("impact_by_depth", f"{_BASE}, {_TOP_CALLEE}, {_REACH}, x AS (SELECT id, 0 AS depth FROM seed UNION ALL SELECT src, min(d) FROM r JOIN seed ON dst=id GROUP BY src) SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n FROM x GROUP BY depth")(lambda s, d: G.impact(graph(s, d), _top(s, d, "callee_id")).groupBy("depth").agg(F.count("*").alias("n")))
+#: All pairs with their least distance; a recursion keyed by pair, as path lengths without a key are too many.
+_REACH = "r(src, dst, d) USING KEY (src, dst) AS (SELECT caller_id, callee_id, 1 FROM calls UNION (SELECT r.src, c.callee_id, min(r.d+1) FROM r JOIN calls c ON c.caller_id=r.dst LEFT JOIN recurring.r o ON o.src=r.src AND o.dst=c.callee_id WHERE o.src IS NULL GROUP BY 1,2))"
+_ABOVE = f"{_TOP_CALLEE}, w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT caller_id, depth+1 FROM w JOIN calls ON callee_id=w.id), x AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)"
+query("impact", f"{_BASE}, {_ABOVE} SELECT x.id, m.full_name, CAST(x.depth AS INTEGER) AS depth, NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=x.id) AS is_entry FROM x JOIN m ON m.id=x.id")(lambda s, d: G.impact(graph(s, d), _top(s, d, "callee_id")))
+query("impact_summary", f"{_BASE}, {_ABOVE} SELECT count(*) AS affected, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=x.id)) AS entry_points, CAST(max(depth) AS INTEGER) AS max_depth FROM x")(lambda s, d: G.impact_summary(G.impact(graph(s, d), _top(s, d, "callee_id"))))
+query("impact_by_depth", f"{_BASE}, {_ABOVE} SELECT CAST(depth AS INTEGER) AS depth, count(*) AS n FROM x GROUP BY depth")(lambda s, d: G.impact(graph(s, d), _top(s, d, "callee_id")).groupBy("depth").agg(F.count("*").alias("n")))
 query(
     "callgraph_edges",
     f"{_BASE}, {_TOP_CALLEE}, x AS ({_DOWN} UNION {_UP}), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT dst, depth+1 FROM w JOIN x ON src=id WHERE depth<2), n AS (SELECT id, min(depth) AS depth FROM w GROUP BY id HAVING min(depth)<2) SELECT caller_id, callee_id, count(*) AS n FROM (SELECT caller_id, callee_id FROM calls JOIN n ON caller_id=id UNION ALL SELECT caller_id, callee_id FROM calls JOIN n ON callee_id=id) GROUP BY 1,2",
@@ -106,13 +108,13 @@ query(
 query("entry_points", f"{_BASE} SELECT id, full_name FROM m WHERE NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=m.id)")(lambda s, d: R.entry_points(graph(s, d)))
 query(
     "blast_radius_all",
-    f"{_BASE}, {_REACH}, q AS (SELECT dst, src, min(d) AS d, max(d) AS far FROM r GROUP BY 1,2), ent AS (SELECT q.dst, q.d, q.src, q.far, m.full_name, row_number() OVER (PARTITION BY q.dst ORDER BY q.d, q.src) AS rn FROM q JOIN m ON m.id=q.src WHERE q.src NOT IN (SELECT callee_id FROM calls)), en AS (SELECT dst, string_agg(full_name, ',' ORDER BY rn) FILTER (WHERE rn<=5) AS names, max(far) AS far FROM ent GROUP BY dst) SELECT m.id, (SELECT count(*) FROM calls WHERE callee_id=m.id) AS direct_callers, (SELECT count(*) FROM q WHERE q.dst=m.id) AS transitive_callers, CAST(coalesce(far,0) AS INTEGER) AS blast_depth, coalesce(names,'') AS entry_points FROM m LEFT JOIN en ON en.dst=m.id",
+    f"{_BASE}, {_REACH}, lg(id, depth) AS (SELECT DISTINCT caller_id, 0 FROM calls WHERE caller_id NOT IN (SELECT callee_id FROM calls) UNION SELECT callee_id, depth+1 FROM lg JOIN calls ON caller_id=lg.id), far AS (SELECT id, max(depth) AS far FROM lg GROUP BY id), ent AS (SELECT r.dst, m.full_name, row_number() OVER (PARTITION BY r.dst ORDER BY r.d, r.src) AS rn FROM r JOIN m ON m.id=r.src WHERE r.src NOT IN (SELECT callee_id FROM calls)), en AS (SELECT dst, string_agg(full_name, ',' ORDER BY rn) AS names FROM ent WHERE rn<=5 GROUP BY dst), nd AS (SELECT callee_id AS dst, count(*) AS n FROM calls GROUP BY 1), nt AS (SELECT dst, count(*) AS n FROM r GROUP BY 1) SELECT m.id, coalesce(nd.n,0) AS direct_callers, coalesce(nt.n,0) AS transitive_callers, CAST(coalesce(far,0) AS INTEGER) AS blast_depth, coalesce(names,'') AS entry_points FROM m LEFT JOIN en ON en.dst=m.id LEFT JOIN far ON far.id=m.id LEFT JOIN nd ON nd.dst=m.id LEFT JOIN nt ON nt.dst=m.id",
 )(lambda s, d: G.blast_radius(graph(s, d)))
-query("closure_pairs", f"{_BASE}, {_REACH} SELECT src, dst, CAST(min(d) AS INTEGER) AS d FROM r GROUP BY 1,2")(lambda s, d: G.closure(G.directed(calls(s, d), "callees")))
+query("closure_pairs", f"{_BASE}, {_REACH} SELECT src, dst, CAST(d AS INTEGER) AS d FROM r")(lambda s, d: G.closure(G.directed(calls(s, d), "callees")))
 query("closure_cyclic", f"WITH RECURSIVE {_CYCLIC}, s AS (SELECT callee_id AS id FROM cyc GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), w(id) AS (SELECT caller_id FROM cyc JOIN s ON callee_id=s.id UNION SELECT caller_id FROM cyc JOIN w ON callee_id=w.id) SELECT count(*) AS blast_radius FROM w")(lambda s, d: _cyclic_blast(s, d))
 query(
     "rank_combined",
-    f"{_BASE}, {_REACH}, n AS (SELECT id FROM m WHERE cc>=40), b AS (SELECT dst AS id, count(DISTINCT src) AS br FROM r GROUP BY 1), c AS (SELECT id, count(*) AS coup FROM (SELECT caller_id AS id FROM calls UNION ALL SELECT callee_id FROM calls) GROUP BY 1), x AS (SELECT n.id, coalesce(b.br,0) AS br, m.cc, coalesce(c.coup,0) AS coup FROM n JOIN m ON m.id=n.id LEFT JOIN b ON b.id=n.id LEFT JOIN c ON c.id=n.id) SELECT id, round(0.4::DOUBLE*br/greatest(1,max(br) OVER ())+0.35::DOUBLE*cc/greatest(1,max(cc) OVER ())+0.25::DOUBLE*coup/greatest(1,max(coup) OVER ()),6) AS score FROM x",
+    f"{_BASE}, {_REACH}, n AS (SELECT id FROM m WHERE cc>=40), b AS (SELECT dst AS id, count(*) AS br FROM r GROUP BY 1), c AS (SELECT id, count(*) AS coup FROM (SELECT caller_id AS id FROM calls UNION ALL SELECT callee_id FROM calls) GROUP BY 1), x AS (SELECT n.id, coalesce(b.br,0) AS br, m.cc, coalesce(c.coup,0) AS coup FROM n JOIN m ON m.id=n.id LEFT JOIN b ON b.id=n.id LEFT JOIN c ON c.id=n.id) SELECT id, round(0.4::DOUBLE*br/greatest(1,max(br) OVER ())+0.35::DOUBLE*cc/greatest(1,max(cc) OVER ())+0.25::DOUBLE*coup/greatest(1,max(coup) OVER ()),6) AS score FROM x",
 )(lambda s, d: G.rank((t := graph(s, d)), t.metrics.where("cognitive_complexity >= 40").select(F.col("method_id").alias("id"))))
 _GQ = Q.GraphQuery(Q.Seed(methodPattern="*NATION_6*"), Q.Expand("callees", 2), Q.Filter(excludeNamespaces=("NATION_12",)), Q.Rank("combined"), Q.Output(50))
 query(

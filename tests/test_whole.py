@@ -14,8 +14,6 @@ from callatlas.sources.tables import GraphTables
 from callatlas.sources.testdata import calls
 
 SMALL = "/root/testdata/sf0.001"
-#: The registered SQL still takes one order in twenty; here it runs over all of them.
-PART = " WHERE l_orderkey%20=0"
 
 
 @pytest.fixture(scope="module")
@@ -53,20 +51,6 @@ def test_closure_of_all_orders(spark):
     assert {tuple(r) for r in QUERIES["closure_pairs"](spark, SMALL).collect()} == want
 
 
-def same(v):
-    return round(v, 6) if isinstance(v, float) else v
-
-
-@pytest.mark.parametrize("name", ["blast_radius_all", "closure_cyclic", "coupling_type", "dead_code", "summary"])
-def test_equals_sql_of_all_orders(spark, db, name):
-    cur = db.execute(SQL[name].replace(PART, ""))
-    names = [d[0] for d in cur.description]
-    want = sorted((tuple(map(same, r)) for r in cur.fetchall()), key=str)
-    df = QUERIES[name](spark, SMALL)
-    assert sorted(names) == sorted(df.columns)
-    assert sorted((tuple(same(r[c]) for c in names) for r in df.collect()), key=str) == want
-
-
 def test_structural_pairs_of_all_members(spark):
     texts = {"a": "x y z w v", "b": "v w z y x", "c": "x y z w v u", "d": "u v w x y z", "e": "k", "f": " ();"}
     signatures = spark.createDataFrame(list(texts.items()), "method_id string, structural_signature string")
