@@ -55,6 +55,9 @@ def _delete(path: str) -> None:
     gateway, context = SparkContext._gateway, SparkContext._active_spark_context
     if gateway is None:
         return
-    at = gateway.jvm.org.apache.hadoop.fs.Path(path)
-    conf = context._jsc.hadoopConfiguration() if context else gateway.jvm.org.apache.hadoop.conf.Configuration()
-    at.getFileSystem(conf).delete(at, True)
+    try:
+        at = gateway.jvm.org.apache.hadoop.fs.Path(path)
+        conf = context._jsc.hadoopConfiguration() if context else gateway.jvm.org.apache.hadoop.conf.Configuration()
+        at.getFileSystem(conf).delete(at, True)
+    except OSError:  # the JVM has ended before Python: its files stay
+        return
