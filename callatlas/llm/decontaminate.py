@@ -4,7 +4,8 @@ Benchmark items are cut into windows of WINDOW consecutive words (an item of few
 one length form a search: a table over hashed blocks of two words holds how far a window's end may be moved without
 missing an occurrence, a position that may not be moved selects its test strings from a bucket by the hash of its last
 words, and each test string is compared word by word. A whole Arrow batch is searched at once: its words are cut into
-lanes, every lane moves its own window end by its own shift, and all lanes step together.
+lanes, every lane moves its own window end by its own shift, and all lanes step together. The tables of a block of
+items are built once and broadcast as arrays.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callatlas.llm.common import bound_arrow_batches
+from callatlas.llm.common import bound_arrow_batches, bytes_of, materialize, packed, release
 
 WINDOW = 10
 #: Benchmark text that one pass over the documents searches for; larger benchmarks take several passes.
-ITEM_BLOCK_BYTES = 16 << 20
+ITEM_BLOCK_BYTES = 4 << 20
 #: Words of a suffix that select the bucket.
 SUFFIX = 4
 _SHIFT_BITS = 20
@@ -60,16 +61,17 @@ class WindowSearch:
     """Wu-Manber tables for windows of one length over word numbers from 1; 0 is any word of no window."""
 
     def __init__(self, windows: np.ndarray):
-        self.windows = np.unique(windows, axis=0)
+        """From distinct windows, one in each row; they are put in another order."""
+        self.windows = windows
         self.length = m = windows.shape[1]
         self.block = 2 if m > 1 else 1
-        self.shift = np.full(1 << _SHIFT_BITS, m - self.block + 1, np.int8)
+        self.shift = np.full(1 << _SHIFT_BITS, m - self.block + 1, np.int32)
         for end in range(self.block - 1, m):  # the last block comes last, so the smallest shift stays
             at = _block(self.windows[:, end - 1] if self.block == 2 else np.zeros(len(self.windows)), self.windows[:, end])
             self.shift[at] = np.minimum(self.shift[at], m - 1 - end)
         self.n_suffix = min(SUFFIX, m)
         keys = _suffix(self.windows[:, m - self.n_suffix :])
-        order = np.argsort(keys, kind="stable")
+        self.order = order = np.argsort(keys, kind="stable")
         self.windows = self.windows[order]
         self.keys, self.starts, self.counts = np.unique(keys[order], return_index=True, return_counts=True)
 
@@ -84,7 +86,7 @@ class WindowSearch:
         stop = np.minimum(at + step, n)
         found = []
         while len(at):
-            s = self.shift[_block(before[at], words[at])].astype(np.int64)
+            s = self.shift[_block(before[at], words[at])]
             found.append(at[s == 0])
             at = at + np.maximum(s, 1)
             going = at < stop
@@ -110,6 +112,16 @@ class WindowSearch:
         return ends[same], tests[same]
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and, for each row, which of them it is."""
+    order = np.lexsort(rows.T[::-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[order][1:] != rows[order][:-1]).any(1)
+    which = np.empty(len(rows), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return rows[order][new], which
+
+
 class ItemBlock:
     """Searches for all windows of a block of benchmark items."""
 
@@ -117,18 +129,22 @@ class ItemBlock:
         self.number: dict[bytes, int] = {}
         self.ids = sorted({i for i, _ in items})
         place = {i: k for k, i in enumerate(self.ids)}
-        owned: dict[tuple[int, ...], set[int]] = {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
-            numbers = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            m = min(window, len(numbers))
-            for k in range(len(numbers) - m + 1 if m else 0):
-                owned.setdefault(tuple(numbers[k : k + m]), set()).add(place[item])
+            numbers = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.int32)
+            if len(numbers):
+                m = min(window, len(numbers))
+                by_length.setdefault(m, []).append((place[item], np.lib.stride_tricks.sliding_window_view(numbers, m)))
         self.searches = []
-        for m in sorted({len(w) for w in owned}):
-            s = WindowSearch(np.array([w for w in owned if len(w) == m], np.int32))
-            owners = [sorted(owned[tuple(w)]) for w in s.windows.tolist()]
-            sizes = np.array([len(o) for o in owners])
-            self.searches.append((s, np.concatenate([np.array(o) for o in owners]), np.concatenate([[0], np.cumsum(sizes)])))
+        for m, parts in sorted(by_length.items()):
+            windows, which = _distinct(np.concatenate([w for _, w in parts]))
+            pairs = np.unique(np.stack([which, np.repeat([i for i, _ in parts], [len(w) for _, w in parts])]), axis=1)
+            s = WindowSearch(windows)
+            sizes = np.bincount(pairs[0], minlength=len(windows))
+            starts = np.cumsum(sizes) - sizes
+            order = s.order
+            owners = pairs[1][np.repeat(starts[order] - np.cumsum(sizes[order]) + sizes[order], sizes[order]) + np.arange(len(pairs[1]))]
+            self.searches.append((s, owners, np.concatenate([[0], np.cumsum(sizes[order])])))
 
     def search(self, texts: list[bytes | None]) -> tuple[list[int], list[np.ndarray], list[list[int]]]:
         """Per text: number of words, whether each word is hit, ids of the items with an occurring window."""
@@ -160,40 +176,80 @@ class ItemBlock:
         return sizes.tolist(), [hit[o : o + n] for o, n in zip(offsets.tolist(), sizes.tolist())], found
 
 
-def _block_of(items: DataFrame, k: int, n: int) -> list[tuple[int, bytes]]:
-    part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-    return [(r[0], bytes(r[1])) for r in part.select("item_id", F.col("text").cast("binary")).collect()]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = ITEM_BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (default: doc_id) with n_words, n_hit and the array of occurring item ids, `items`.
-
-    One row per input row. Null and empty texts have no words; null item ids or texts and items without words never
-    occur; an item id of several rows occurs if any of them does. Each pass holds at most `block_bytes` of benchmark
-    text (or one item); a pass adds to the hit words and items of the passes before it, without any shuffle.
-    """
+def _blocks(items: DataFrame, block_bytes: int) -> list[list[int]] | None:
+    """Blocks of at most `block_bytes` of text (or a single item) as lists of buckets of a hash of the rows, and None if
+    one block holds all. Buckets are made finer until each one fits; only their sizes are gathered."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= block_bytes:
+        return None
+    n = 4 * -(-total // block_bytes)
+    while True:
+        sizes = items.groupBy(_bucket(n).alias("k")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct("item_id", "text").alias("rows")).orderBy("k").collect()
+        if all(r["bytes"] <= block_bytes or r["rows"] == 1 for r in sizes):
+            break
+        n *= 2
+    blocks, room = [[]], block_bytes
+    for r in sizes:
+        if blocks[-1] and r["bytes"] > room:
+            blocks.append([])
+            room = block_bytes
+        blocks[-1].append(r["k"])
+        room -= r["bytes"]
+    return [[n, *b] for b in blocks]
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+
+
+def _passes(state: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, texts) -> DataFrame:
+    """Run every block of items over `state`, whose last four columns hold what was found so far: n_words, n_hit, hit
+    (bits of the hit words, between passes) and items; `texts` takes the texts from a batch's first column. Each pass
+    adds to the hit words and items of the passes before it, without any shuffle; several passes write their rows."""
     bound_arrow_batches(docs.sparkSession)
-    keep = keep or ["doc_id"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    state = docs.select(F.col("text").cast("string").cast("binary").alias("__text"), F.lit(0).cast("long").alias("__n_words"), F.lit(0).cast("long").alias("__n_hit"), F.lit(None).cast("binary").alias("__hit"), F.expr("cast(array() as array<long>)").alias("__items"), *[F.col(f"`{c}`") for c in keep])
+    blocks = _blocks(items, block_bytes)
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in state.schema])
-    for k in range(n):
-        block = docs.sparkSession.sparkContext.broadcast(_block_of(items, k, n))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, last=k == n - 1) -> Iterator[pa.RecordBatch]:
-            search = ItemBlock(block.value, window)
+    several, passed = blocks is not None, None
+    for k, block in enumerate(blocks or [None]):
+        part = items if block is None else items.where(_bucket(block[0]).isin(block[1:]))
+        found = [(r[0], bytes(r[1])) for r in part.select("item_id", F.col("text").cast("binary")).distinct().collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(ItemBlock(found, window))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = shared.value
             for b in batches:
-                sizes, hits, found = search.search(b.column(0).to_pylist())
-                if n > 1:
-                    hits = [h if x is None else h | (np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) > 0) for h, x in zip(hits, b.column(3).to_pylist())]
-                    found = [x + y for x, y in zip(found, b.column(4).to_pylist())]
-                text, bits = (pa.nulls(b.num_rows, pa.binary()),) * 2 if last else (b.column(0), pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()))
-                yield pa.RecordBatch.from_arrays([text, pa.array(sizes, pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()), bits, pa.array(found, pa.list_(pa.int64())), *b.columns[5:]], names=b.schema.names)
+                *rest, _, _, bits, items = b.columns
+                sizes, hits, found = search.search(texts(b.column(0)))
+                if several:
+                    hits = [h if x is None else h | (np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) > 0) for h, x in zip(hits, bits.to_pylist())]
+                    found = [x + y for x, y in zip(found, items.to_pylist())]
+                bits = pa.array([np.packbits(h).tobytes() if several else None for h in hits], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()), bits, pa.array(found, pa.list_(pa.int64()))], names=b.schema.names)
 
         state = state.mapInArrow(run, schema)
-    return state.select(*[F.col(f"`{c}`") for c in keep], F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.array_distinct("__items").alias("items"))
+        if several and k < len(blocks) - 1:  # a stage holds the tables of one block only
+            before, passed = passed, materialize(state, "decontamination-pass")
+            state = passed
+            if before is not None:
+                release(before)
+    return state
+
+
+def _nothing_yet() -> list[Column]:
+    return [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.expr("cast(array() as array<long>)").alias("items")]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+    """doc_id with n_words, n_hit and the array of occurring item ids, `items`.
+
+    One row per input row; other columns are ignored. Null and empty texts have no words; null item ids or texts and
+    items without words never occur; an item id of several rows occurs if any of them does; repeated rows count once.
+    Each pass holds at most `block_bytes` of benchmark text (or one item).
+    """
+    state = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *_nothing_yet())
+    found = _passes(state, docs, benchmark, window, block_bytes, lambda column: column.to_pylist())
+    return found.select("doc_id", "n_words", "n_hit", F.array_distinct("items").alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -202,7 +258,8 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that no benchmark window occurs in."""
-    out = scan(docs, benchmark, window, keep=docs.columns)
-    return out.where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns whatever their names, that no benchmark window occurs in; as scan() otherwise."""
+    state = packed(docs).select("row", *_nothing_yet())
+    found = _passes(state, docs, benchmark, window, block_bytes, lambda column: bytes_of(column, "text"))
+    return found.where("n_hit = 0").select("row.*")
