@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callatlas.llm.common import bound_arrow_batches, materialize
+from callatlas.llm.common import bound_arrow_batches, bytes_of, materialize, salted_left_join
 from callatlas.llm.linear import Logistic
 
 #: Labelled documents that the text model is fitted to at most: the first by a hash of their ids.
 TRAIN_DOCS = 16_000
-#: Sites whose posteriors are broadcast at most; more are joined by shuffling.
+#: Sites whose posteriors are broadcast at most; more are joined by shuffling, with salts.
 BROADCAST_SITES = 50_000
 #: Bounds on the prior's strength, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
@@ -116,45 +116,42 @@ def site_posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return paths.select("host", "path", "n", "global_rate", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"))
 
 
-def _evidence(docs: DataFrame, model: Logistic, prior: float, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with __host, __path and __evidence."""
+def _judged(docs: DataFrame, labels: DataFrame, source: DataFrame, texts) -> DataFrame:
+    """`source` (first column: texts or rows; then host and path) with evidence, host_rate, path_rate and posterior."""
+    bound_arrow_batches(docs.sparkSession)
+    model = fit_text_model(docs, labels)
+    sites = materialize(site_posteriors(docs, labels), "sites")
+    first = sites.select("global_rate").first()
+    prior = first[0] if first else 0.5
     shared = docs.sparkSession.sparkContext.broadcast((model, float(np.log(prior / (1 - prior)))))
-    source = docs.select(F.col("text").cast("string").cast("binary").alias("__text"), F.lit(0.0).alias("__evidence"), *[c.alias(f"__{n}") for c, n in zip(_site(docs), ("host", "path"))], *[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, at = shared.value
         for b in batches:
-            x = np.array([text_features(t) for t in b.column(0).to_pylist()], float).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array(m.logit(x) - at), *b.columns[2:]], names=b.schema.names[1:])
+            x = np.array([text_features(t) for t in texts(b.column(0))], float).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(m.logit(x) - at)], names=b.schema.names)
 
-    return source.mapInArrow(run, source.drop("__text").schema)
+    scored = source.withColumn("evidence", F.lit(0.0))
+    scored = scored.mapInArrow(run, scored.schema)
+    rates = sites.select("host", "path", "host_rate", "path_rate")
+    joined = scored.join(F.broadcast(rates), ["host", "path"], "left") if sites.count() <= BROADCAST_SITES else salted_left_join(scored, rates, ["host", "path"])
+    odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))
+    return joined.withColumn("posterior", F.expr("1.0") / (1 + F.exp(-odds)))
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (default: doc_id) with host, path, evidence, host_rate, path_rate, posterior and good.
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, host, path, evidence, host_rate, path_rate, posterior and the decision, keep (posterior at least 0.5).
 
     One row per input row; null and empty texts have no features; null hosts and paths are sites of their own; repeated
-    rows and null ids are kept. Without labels every site has the rate 1/2 and the text model gives no evidence.
+    rows and null ids are kept; other columns are ignored. Without labels every site has the rate 1/2 and the text model
+    gives no evidence.
     """
-    keep = keep or ["doc_id"]
-    bound_arrow_batches(docs.sparkSession)
-    model = fit_text_model(docs, labels)
-    sites = materialize(site_posteriors(docs, labels), "sites")
-    first = sites.select("global_rate").first()
-    scored = _evidence(docs, model, first[0] if first else 0.5, keep)
-    rates = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("host_rate").alias("__host_rate"), F.col("path_rate").alias("__path_rate"))
-    if sites.count() <= BROADCAST_SITES:
-        rates = F.broadcast(rates)
-    odds = F.col("__evidence") + F.log(F.col("__path_rate") / (1 - F.col("__path_rate")))
-    out = scored.join(rates, ["__host", "__path"], "left").withColumn("__posterior", F.expr("1.0") / (1 + F.exp(-odds)))
-    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__{c}").alias(f"__{c}" if c in keep else c) for c in ("host", "path", "evidence", "host_rate", "path_rate", "posterior")], (F.col("__posterior") >= 0.5).alias("__good"))
-
-
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """judge() for each document, with its decision as `keep`."""
-    return judge(docs, labels).withColumnRenamed("__good", "keep")
+    source = docs.select(F.col("text").cast("string").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *_site(docs))
+    out = _judged(docs, labels, source, lambda column: column.to_pylist())
+    return out.select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") >= 0.5).alias("keep"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are judged good."""
-    return judge(docs, labels, docs.columns).where("__good").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all columns whatever their names, that are judged good; as quality() otherwise."""
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_site(docs))
+    return _judged(docs, labels, source, lambda column: bytes_of(column, "text")).where("posterior >= 0.5").select("row.*")
