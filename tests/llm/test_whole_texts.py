@@ -20,6 +20,7 @@ def test_training_in_lanes_agrees_with_whole_sequences(monkeypatch):
         places = sorted(rng.choice(n, n // 10, replace=False).tolist())
         docs.append((k % 2, n, places, [[p % 3] for p in places]))
     names = [b"x", b"y", b"z"]
+    monkeypatch.setattr(toxicity, "LANE", 500)
     lanes = toxicity.train_chain(docs, names)
     monkeypatch.setattr(toxicity, "LANE", 10_000)
     whole = toxicity.train_chain(docs, names)
