@@ -10,6 +10,7 @@ import pytest
 from callatlas.llm import decontaminate, license_scan, quality, sentencepiece_bpe, simhash, token_counts, token_store, topk_search, toxicity, url_filter
 from callatlas.llm.common import read_table, scratch_path
 from callatlas.llm.queries import tokenizer_file
+from callatlas.operators import shards
 
 SMALL = "/root/testdata/sf0.001"
 #: Null, empty, white, repeated and long texts, null and repeated ids, and columns whose names clash with results'.
@@ -235,27 +236,52 @@ def test_columns_of_any_name(spark):
 # 9: top-k search
 
 
-def test_topk_against_brute_force(spark, empty):
+def brute_topk(rows, is_query, k=5):
+    v = [(i, [int(np.floor(np.float64(np.float32(x)) * 256)) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    asked = {}
+    for i, e in v:
+        if is_query(i):
+            asked[i] = min(asked.get(i, e), e)
+    want = []
+    for q, e in asked.items():
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, f)))), c) for c, f in v if c != q and len(f) == len(e))
+        want += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("least_rows", [512, 20])
+def test_topk_against_brute_force(spark, monkeypatch, least_rows):
     rng = random.Random(8)
     rows = [(k, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for k in range(400)]
-    rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1002, [float("nan")] * 4), (1003, [1.0, 1.0]), (1050, [1.0, 2.0]), (1100, [1e30, -1e30, 0.0, 0.0])]
+    rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1002, [float("nan")] * 4), (1003, [1.0, 1.0]), (1050, [1.0, 2.0]), (1100, [1e30, -1e30, 0.0, 0.0]), (1150, [1e17, 1.0, 0.0, 0.0])]
+    rows += [(None, [9.0] * 4), (50, [1.0, 1.0, 1.0, -1.0]), (7, [1.0] * 4), (7, [1.0] * 4), (1200, []), (1201, []), (1250, [0.5] * 3000), (1251, [0.25] * 3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    v = {i: [int(np.floor(np.float64(np.float32(x)) * 256)) for x in e] for i, e in rows if e and all(x is not None and np.isfinite(x) for x in e)}
-    want = set()
-    for q in (i for i in v if i % 50 == 0):
-        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v[q], v[c])))), c) for c in v if c != q and len(v[c]) == len(v[q]))
-        want |= {(q, k, c, -s) for k, (s, c) in enumerate(scored[:5], 1)}
-    for block in (4096, 3):
-        got = {tuple(r) for r in topk_search.search(df, "vec_id % 50 = 0", query_block=block).collect()}
-        assert {g for g in got if g[0] != 1100} == {w for w in want if w[0] != 1100}
+    monkeypatch.setattr(shards, "LEAST_ROWS", least_rows)
+    got = sorted(tuple(r) for r in topk_search.search(df, "vec_id % 50 = 0").collect())
+    assert got == brute_topk(rows, lambda i: i % 50 == 0)
+    clashing = df.selectExpr("*", *[f"'x' as `{c}`" for c in ("id", "v", "least", "shard", "side", "rank", "query_id", "score")])
+    assert topk_search.search(clashing, "vec_id % 50 = 0").count() == len(got)
     assert topk_search.search(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
-def test_tree_prunes():
+def test_tree_opens_few_leaves():
     rng = np.random.default_rng(3)
-    rows = np.floor(rng.normal(size=(2000, 3)) * 100)
-    t = topk_search.KDTree(np.arange(2000), rows, leaf=16)
-    assert (t.bounds(rows[0]) + 1e-9 >= 0).shape and t.bounds(rows[5]).max() >= (rows @ rows[5]).max()
+    rows = np.floor(rng.normal(size=(4000, 3)) * 100)
+    ids = np.arange(4000)
+    t = topk_search.KDTree(ids, rows, leaf=32)
+    assert sum(c[0] < 0 for c in t.child) == 128
+    queries, own = rows[::80], ids[::80]
+    got = t.search(queries, own, 5, np.full(len(own), -np.inf))
+    for q, heap in zip(own, got):
+        scores = sorted((float(s), -int(i)) for i, s in zip(ids, rows @ rows[q]) if i != q)[-5:]
+        assert sorted(heap) == scores
+    alone = t.visited
+    assert alone < 0.15 * 128 * len(own)  # of all leaves of all queries
+    t.visited = 0
+    kth = np.array([h[0][0] for h in got])
+    assert [sorted(h) for h in t.search(queries, own, 5, kth)] == [sorted(h) for h in got] and t.visited <= alone
+    t.visited = 0
+    assert t.search(queries, own, 5, np.full(len(own), 1e9)) == [[] for _ in own] and t.visited == 0
 
 
 # 7: token counts
