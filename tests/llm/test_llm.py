@@ -341,22 +341,48 @@ def test_url_mining(spark, monkeypatch):
 # 3: licences
 
 
-def test_license_scan_against_containment(spark, odd, empty):
+def five_words(t):
+    w = [x.decode() for x in decontaminate.words_of((t or "").encode())]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_license_scan_against_containment(spark, odd, empty, monkeypatch):
     rng = random.Random(9)
     fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
     docs = []
     for k, (_, t) in enumerate(sorted(license_scan.NOTICES.items())):
         docs += [(k, f"{fill(37 + k)} {t.upper()} {fill(50)}"), (100 + k, t), (200 + k, fill(90)), (300 + k, " ".join(t.split()[:4]))]
-    docs += [(500, "x Permission is hereby granted, free of charge, to any person obtaining a copy of that software and associated documentation files")]
-    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-
-    def grams(t):
-        w = [x.decode() for x in decontaminate.words_of(t.encode())]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-    want = {(i, n) for i, t in docs for n, s in license_scan.NOTICES.items() if len(grams(s) & grams(t)) >= 0.8 * len(grams(s))}
-    assert set(got) == want and all(got[k, n] == 1 for k, n in got if k < 200)
-    assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0
+        docs += [(400 + k, f"{fill(4096 - 3 * k)} {t} {fill(4080 + 2 * k)} {t}")]  # over the border of two sections
+    docs += [(500, "x Permission is hereby granted, free of charge, to any person obtaining a copy of that software and associated documentation files"), (None, docs[0][1]), (0, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(i, n) for i, t in docs for n, s in license_scan.NOTICES.items() if len(five_words(s) & five_words(t)) >= 0.8 * len(five_words(s))}
+    for size in (license_scan.PASS_TEMPLATES, 3):
+        monkeypatch.setattr(license_scan, "PASS_TEMPLATES", size)
+        got = {(r.doc_id, r.license): r for r in license_scan.scan(df).collect()}
+        assert set(got) == want and all(r.containment == 1 for (k, _), r in got.items() if k is not None and k < 200)
+        assert got[0, "Apache-2.0"].n_windows >= 1 and abs(got[0, "Apache-2.0"].first_word - 37) <= 8
+    assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0 and license_scan.scan(df, {}).count() == 0
+
+
+def test_license_scan_of_documents(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    grams = {n: five_words(s) for n, s in license_scan.NOTICES.items()}
+    want = {(r.doc_id, n) for r in docs.collect() for have in [five_words(r.text)] for n, g in grams.items() if any(x in have for x in g) and len(g & have) == len(g)}
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan(docs).collect()}
+    assert {k for k, c in got.items() if c == 1} == want and want
+
+
+def test_license_scan_is_linear(spark):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        text = ("filler%d " * 50 % tuple(range(50)) + "Released under the MIT License. ") * (n // 55)
+        began = time.perf_counter()
+        (row,) = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert row.license == "MIT" and row.first_word <= 50
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60
 
 
 # 1 and 8: classifiers
