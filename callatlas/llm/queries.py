@@ -22,10 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id and bad: a page shows the document whose number ends its url's path, so it takes that one's labels; low
+    quality or toxic ones are bad."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+|/)?$", 1)
+    shown = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    bad = labels.select("doc_id", F.expr("coalesce(quality = 0, false) or coalesce(toxic = 1, false)").alias("bad")).groupBy("doc_id").agg(F.max("bad").alias("bad"))
+    return shown.join(bad, "doc_id").select("page_id", "bad")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of pages: those of the row of the same number in `labels`; low quality or toxic ones are bad."""
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("coalesce(quality = 0, false) or coalesce(toxic = 1, false)").alias("bad"))
-    return url_filter.judge(read_table(spark, sf_dir, "pages"), labels)
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, page_labels(pages, read_table(spark, sf_dir, "labels")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """Training-data operators against brute force, the libraries, round trips and held-out labels; edge cases of inputs."""
 
 import hashlib
+import html
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callatlas.llm import decontaminate, license_scan, quality, sentencepiece_bpe, simhash, token_counts, token_store, topk_search, toxicity, url_filter
 from callatlas.llm.common import read_table, scratch_path
-from callatlas.llm.queries import tokenizer_file
+from callatlas.llm.queries import page_labels, tokenizer_file
 from callatlas.operators import shards
 
 SMALL = "/root/testdata/sf0.001"
@@ -328,14 +332,108 @@ def test_url_rules(spark):
     }
 
 
-def test_url_mining(spark, monkeypatch):
-    pages = [(k, f"http://{'casino' if k % 4 == 0 else 'fine'}-{k % 3}.net/{'win' if k % 2 == 0 else 'news'}/{k}") for k in range(400)]
-    labels = spark.createDataFrame([(k, k % 4 == 0) for k in range(300)], "page_id long, bad boolean")
-    df = spark.createDataFrame(pages, "page_id long, url string")
-    for bound in (url_filter.BROADCAST_RULES, 0):
-        monkeypatch.setattr(url_filter, "BROADCAST_RULES", bound)
-        got = {r.page_id: r.verdict for r in url_filter.judge(df, labels).collect()}
-        assert all((got[k] == "block") == (k % 4 == 0) for k in range(400))
+def test_url_rules_by_host_join(spark, monkeypatch):
+    rng = random.Random(12)
+    names = ["a.net", "b.net", "net", "x.a.net", "c.org"]
+    rules = sorted({(f"{rng.choice(names)}/{''.join(rng.choice('ab') for _ in range(rng.randrange(3)))}", None) for _ in range(12)})
+    rules = [(t, ("allow", "block")[k % 2]) for k, (t, _) in enumerate(rules)]
+    pages = [(k, f"http://{rng.choice(['', 'w.', 'not'])}{rng.choice(names)}/{''.join(rng.choice('ab') for _ in range(4))}") for k in range(200)] + [(1000, None), (1001, "no host"), (None, "http://a.net/ab")] * 2
+    df, none = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean")
+    out = []
+    for plain, most in ((500, 20_000), (0, 20_000), (0, 0)):
+        monkeypatch.setattr(url_filter, "PLAIN_RULES", plain)
+        monkeypatch.setattr(url_filter, "BROADCAST_URLS", most)
+        out.append(sorted(map(str, url_filter.judge(df, none, rules).collect())))
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(pages)
+
+
+def url_tokens(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url or "")
+    if not m or not m[1]:
+        return frozenset()
+    host = m[1].lower()
+    labels = host.split(".")
+    keys = [p.partition("=")[0] for p in (m[3] or "").split("&") if p]
+    parts = {"host": [".".join(labels[-n:]) for n in range(1, len(labels) + 1)], "word": re.split(r"[.\-]", host), "path": re.split(r"[/.]", m[2]), "key": keys}
+    return frozenset(f"{k}={v}" for k, vs in parts.items() for v in vs if v)
+
+
+def planted_pages(n=1500):
+    """Urls without a listed rule; labels follow two tokens together, or one alone."""
+    rng = random.Random(13)
+    pages, bad = [], {}
+    for k in range(n):
+        host = f"{rng.choice(['www', 'm', 'blog'])}.{rng.choice(['casino-win', 'news', 'shop-x', 'free-pills', 'home'])}{rng.randrange(5)}.{rng.choice(['net', 'info'])}"
+        path = rng.choice(["offer", "blog", "item"])
+        pages.append((k, f"https://{host}/{path}/{k}{rng.choice(['', '?utm=1', '?page=2&ref=x', '#top'])}"))
+        bad[k] = ("shop-x" in host and path == "offer") or "pills" in host or ("casino" in host and rng.random() < 0.7)
+    return pages, bad
+
+
+def test_url_mining_decides_and_equals_brute_force(spark, monkeypatch):
+    pages, bad = planted_pages()
+    known = {k: b for k, b in bad.items() if k % 3}
+    df = spark.createDataFrame(pages + [(None, pages[0][1]), (5000, None), (5001, "http://" + "a." * 400 + "net/" + "x/" * 2000)], "page_id long, url string")
+    labels = spark.createDataFrame([*known.items(), (7, None), (None, True)], "page_id long, bad boolean")
+    runs = []
+    for most in (20_000, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_URLS", most)
+        runs.append({r.page_id: (r.verdict, r.mined) for r in url_filter.judge(df, labels).collect()})
+    assert runs[0] == runs[1] and len(runs[0]) == len(pages) + 3
+    unseen = [k for k, _ in pages if k % 3 == 0]
+    right = sum((runs[0][k][0] == "block") == bad[k] for k in unseen) / len(unseen)
+    blocked = sum(runs[0][k][0] == "block" for k in unseen)
+    assert right > 0.85 and 0.2 < blocked / len(unseen) < 0.8  # pages without a listed rule get both verdicts
+
+    base = df.select("page_id", "url", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    rows = base.select("page_id", "url", url_filter.tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
+    tokens = {r.page_id: frozenset(r.tokens) for r in rows.collect() if r.page_id is not None}
+    assert all(tokens[k] == url_tokens(u) for k, u in pages)
+    labelled = [(tokens[k], b) for k, b in known.items()]
+    mined = url_filter.mine(rows.join(labels.where("bad is not null"), "page_id").select("tokens", "bad"), rows.select("tokens")).collect()
+    share = sum(known.values()) / len(known)
+    for r in mined:  # support, confidence and lift by counting, and no idle superset
+        n, hit = sum(set(r.antecedent) <= t for t, _ in labelled), sum(set(r.antecedent) <= t and b for t, b in labelled)
+        assert abs(r.confidence - hit / n) < 1e-9 and abs(r.lift - hit / n / share) < 1e-9 and n >= 10 and hit / n >= 0.6
+        assert not any(set(o.antecedent) < set(r.antecedent) and o.confidence >= r.confidence for o in mined)
+    assert mined
+    for k, _ in pages:  # the inverted index against testing every rule on every url
+        best = max((r.confidence for r in mined if set(r.antecedent) <= tokens[k]), default=None)
+        assert runs[0][k] == ("allow" if best is None else "block", best)
+
+
+def test_mined_rules_are_all_there(spark):
+    """Against every combination of tokens: each good enough one is a rule or holds a shorter rule as confident."""
+    rng = random.Random(14)
+    labelled = [(frozenset(t for t in "abcdef" if rng.random() < 0.5), None) for _ in range(400)]
+    labelled = [(t, rng.random() < (0.9 if {"a", "b"} <= t else 0.75 if "c" in t else 0.2)) for t, _ in labelled]
+    mined = url_filter.mine(spark.createDataFrame([(sorted(t), b) for t, b in labelled], "tokens array<string>, bad boolean"), min_support=0.05)
+    got = {frozenset(r.antecedent): r.confidence for r in mined.collect()}
+    share = sum(b for _, b in labelled) / len(labelled)
+    good = {}
+    for size in range(1, 7):
+        for c in map(frozenset, itertools.combinations("abcdef", size)):
+            n, hit = sum(c <= t for t, _ in labelled), sum(c <= t and b for t, b in labelled)
+            if n >= 20 and hit / n >= 0.6 and hit / n / share >= 1.2 and hit / n - 1.64 * (hit / n * (1 - hit / n) / n) ** 0.5 >= 0.5:
+                good[c] = hit / n
+    want = {c: p for c, p in good.items() if not any(d < c and q >= p for d, q in good.items())}
+    assert set(got) == set(want) and all(abs(got[c] - p) < 1e-9 for c, p in want.items())
+
+
+def test_url_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "u"), (1, "http://a.net/x", "u"), (None, None, "u"), (2, "", "u")], "page_id long, url string, rule string").selectExpr("*", "1 as host", "2 as tokens", "3 as mined", "4 as listed", "5 as bad")
+    labels = spark.createDataFrame([(1, True), (None, None)], "page_id long, bad boolean")
+    assert sorted(str(r.verdict) for r in url_filter.judge(pages, labels).collect()) == ["allow"] * 4
+    assert url_filter.judge(pages.limit(0), labels).count() == 0 and url_filter.judge(pages, labels.limit(0)).count() == 4
+
+
+def test_page_labels_follow_the_document_shown(spark):
+    docs = {r.doc_id: r.text.split("\n")[0] for r in read_table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    pages = read_table(spark, "/root/testdata/sf0.01", "pages")
+    every = spark.range(1000).selectExpr("id as doc_id", "0 as quality", "0 as toxic")
+    assert page_labels(pages, every).count() == pages.count()
+    same = [html.unescape(re.search("(?s)<title>(.*?)</title>", r.html)[1]).strip() == docs[int(re.search(r"/(\d+)[^/\d]*/?$", r.url.split("?")[0].split("#")[0])[1])][:60].strip() for r in pages.collect()]
+    assert sum(same) / len(same) > 0.9
 
 
 # 3: licences

@@ -29,7 +29,7 @@ def test_training_in_lanes_agrees_with_whole_sequences(monkeypatch):
 
 def test_rules_of_more_than_400_tokens(spark):
     rows = [([f"path=t{k % 450}"], True) for k in range(5400)] + [(["path=other"], False)] * 5400 + [(["path=mid"], k < 27) for k in range(30)]
-    rules = {tuple(r.antecedent) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.0005).collect()}
+    rules = {tuple(r.antecedent) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_support=0.0005).collect()}
     assert ("path=mid",) in rules and len(rules) == 451
 
 
