@@ -26,9 +26,10 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callatlas.llm.common import bound_arrow_batches
+from callatlas.llm.common import bound_arrow_batches, materialize
 
 MAGIC = b"BPL1"
 #: Ids of a block.
@@ -37,6 +38,8 @@ BLOCK_IDS = 1 << 15
 SEGMENT_IDS = 1 << 18
 #: Bytes of text that one shard aims at.
 SHARD_BYTES = 32 << 20
+#: Shards whose sizes are summed together, and shards whose starts are broadcast at most (16 bytes each).
+GROUP, BROADCAST_SHARDS = 4096, 500_000
 #: Distinct words that a Python worker keeps ids of.
 CACHE_WORDS = 400_000
 END_ID = 2
@@ -226,25 +229,32 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(ids.tobytes()), pa.int64())
 
 
+def _starts(segments: DataFrame) -> DataFrame:
+    """shard and `base`, the ids of all shards before it. Shards are summed in groups of GROUP; only the groups' sums
+    pass the driver, one for GROUP shards, and each group is numbered by itself."""
+    totals = materialize(segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("g", (F.col("shard") / GROUP).cast("int")), "shard-sizes")
+    before, at = {}, 0
+    for g, n in totals.groupBy("g").agg(F.sum("n")).orderBy("g").collect():
+        before[g] = at
+        at += n
+    base = totals.sparkSession.createDataFrame(list(before.items()), "g int, before long")
+    inside = F.sum("n").over(W.partitionBy("g").orderBy("shard")) - F.col("n")
+    return totals.withColumn("inside", inside).join(F.broadcast(base), "g").select("shard", (F.col("before") + F.col("inside")).alias("base"))
+
+
 def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType) -> DataFrame:
     bound_arrow_batches(spark)
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    # a few numbers for each shard: bounded by the number of write tasks
-    totals = [(r[0], r[1]) for r in segments.groupBy("shard").agg(F.sum("n_ids")).orderBy("shard").collect()]
-    before, at = {}, 0
-    for shard, n in totals:
-        before[shard] = at
-        at += n
-    offsets = spark.sparkContext.broadcast(before)
+    starts = materialize(_starts(segments.select("shard", "n_ids")), "shard-starts")
+    placed = segments.join(F.broadcast(starts) if starts.count() <= BROADCAST_SHARDS else starts, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = offsets.value
         for b in batches:
             for k in range(b.num_rows):
-                docs, lengths, ids = unpack(b.column(2)[k].as_py())
+                docs, lengths, ids = unpack(b.column(1)[k].as_py())
                 starts = np.cumsum(lengths) - lengths
                 values = [value(ids[s : s + n]) for s, n in zip(starts.tolist(), lengths.tolist())]
                 doc_id = pa.array(docs, mask=docs == np.iinfo(np.int64).min)
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array(starts + (base[b.column(0)[k].as_py()] + b.column(1)[k].as_py())), pa.array(lengths), pa.array(values, kind)], names=["doc_id", "start", "n_tokens", column.split()[0]])
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array(starts + b.column(0)[k].as_py()), pa.array(lengths), pa.array(values, kind)], names=["doc_id", "start", "n_tokens", column.split()[0]])
 
-    return segments.select("shard", "start", "blob").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return placed.select((F.col("base") + F.col("start")).alias("start"), "blob").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")

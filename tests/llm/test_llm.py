@@ -96,6 +96,14 @@ def test_token_store(spark, odd, empty):
         assert token_store.read_digests(spark, out).count() == n
 
 
+def test_shard_starts_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "GROUP", 3)
+    rng = random.Random(15)
+    rows = [(shard, rng.randrange(1, 50)) for shard in range(20) if shard % 7 for _ in range(rng.randrange(1, 4))]
+    got = {r.shard: r.base for r in token_store._starts(spark.createDataFrame(rows, "shard int, n_ids long")).collect()}
+    assert got == {s: sum(n for t, n in rows if t < s) for s, _ in rows}
+
+
 def test_planes_roundtrip():
     rng = np.random.default_rng(1)
     for n, top in ((0, 2), (1, 2), (100, 50_000), (70_001, 2**32 - 1)):
@@ -601,9 +609,91 @@ def test_sparse_sites_shrink(spark):
     assert abs(rate["big"] - 0.75) < 0.05 and rate["small"] > 0.2
 
 
-def test_pipeline(spark):
+def test_posteriors_against_plain_python(spark):
+    """Rates of sites shrunk along the hierarchy, evidence by the formula, posterior odds as their product."""
+    docs, labels = read_table(spark, "/root/testdata/sf0.01", "documents"), read_table(spark, "/root/testdata/sf0.01", "labels")
+    good = {}
+    for r in labels.collect():
+        good[r.doc_id] = min(good.get(r.doc_id, 1), r.quality)
+    texts = {r.doc_id: (r.text, r.source or "", r.lang or "") for r in docs.collect()}
+
+    def strength(groups):  # (n, good, parent's rate)
+        groups = [g for g in groups if g[0]]
+        n = sum(g[0] for g in groups)
+        within = sum(m * p * (1 - p) for m, _, p in groups) / n
+        between = (sum(m * (k / m - p) ** 2 for m, k, p in groups) - sum(p * (1 - p) for _, _, p in groups)) / n
+        return min(1000.0, max(2.0, within / between)) if between > 1e-12 else 1000.0
+
+    paths = {}
+    for i, (_, host, path) in texts.items():
+        n, k = paths.get((host, path), (0, 0))
+        paths[host, path] = (n + (i in good), k + good.get(i, 0))
+    overall = (sum(k for _, k in paths.values()) + 1) / (sum(n for n, _ in paths.values()) + 2)
+    hosts = {h: [sum(v[x] for q, v in paths.items() if q[0] == h) for x in (0, 1)] for h, _ in paths}
+    k_host = strength([(n, k, overall) for n, k in hosts.values()])
+    host_rate = {h: (k + k_host * overall) / (n + k_host) for h, (n, k) in hosts.items()}
+    k_path = strength([(n, k, host_rate[h]) for (h, _), (n, k) in paths.items()])
+    path_rate = {(h, p): (k + k_path * host_rate[h]) / (n + k_path) for (h, p), (n, k) in paths.items()}
+    model = quality.fit_text_model(docs, labels)
+    rows = quality.quality(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text, host, path = texts[r.doc_id]
+        evidence = model.logit(np.array([quality.text_features(text.encode())]))[0] - np.log(overall / (1 - overall))
+        rate = path_rate[host, path]
+        odds = np.exp(evidence) * rate / (1 - rate)
+        assert abs(r.path_rate - rate) < 1e-9 and abs(r.host_rate - host_rate[host]) < 1e-9 and abs(r.evidence - evidence) < 1e-6
+        assert abs(r.posterior - odds / (1 + odds)) < 1e-6 and r.keep == (r.posterior >= 0.5)
+
+
+def write_tables(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage's rows against a plain version of it, each on what its predecessor kept."""
+    import sentencepiece
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels, items = (read_table(spark, SMALL, t) for t in ("documents", "labels", "benchmark"))
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "sentencepiece"] and pipeline.ORACLE_SQL is None
+    stage = dict(pipeline.STAGES)
+    kept = stage["quality"](spark, docs, SMALL)
+    want = {r.doc_id for r in quality.quality(docs, labels).collect() if r.posterior >= 0.5}  # posteriors: see above
+    assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns and 0 < len(want) < docs.count()
+    fewer = stage["toxicity"](spark, kept, SMALL)
+    want = {r.doc_id for r in toxicity.score(kept, toxicity.fit(kept, labels)).collect() if r.score < 0.5}  # scores: see above
+    assert {r.doc_id for r in fewer.collect()} == want and fewer.columns == docs.columns
+    fps = {r.doc_id: simhash.fingerprint(r.text.encode()) for r in fewer.collect()}
+    group = {i: i for i in fps}
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3 and group[a] != group[b]:
+            x, y = sorted((group[a], group[b]))
+            group = {i: x if g == y else g for i, g in group.items()}
+    single = stage["near_duplicates"](spark, fewer, SMALL)
+    assert {r.doc_id for r in single.collect()} == set(group.values()) and single.columns == docs.columns
+    real = [(r.item_id, r.text) for r in items.collect()]
+    pure = stage["decontamination"](spark, single, SMALL)
+    want = {int(i) for i, _, n, _ in brute([(r.doc_id, r.text) for r in single.collect()], real) if not n}
+    assert {r.doc_id for r in pure.collect()} == want and pure.columns == docs.columns
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    want = {(r.doc_id, len(ids := sp.encode(r.text)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()) for r in pure.collect()}
+    assert {tuple(r) for r in stage["sentencepiece"](spark, pure, SMALL).collect()} == want == {tuple(r) for r in pipeline.run(spark, SMALL).collect()}
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = read_table(spark, SMALL, "documents")
-    assert len(pipeline.STAGES) == 5 and pipeline.ORACLE_SQL is None
-    out = pipeline.run(spark, SMALL)
-    assert 0 < out.count() <= docs.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    wide = odd.selectExpr("*", *[f"'x' as `{c}`" for c in CLASHES])
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 1, 1), (7, 1, 0), (None, 0, 1), (1, None, None)], LABELS)
+    items = spark.createDataFrame([(None, "five"), (2, None), (3, "null id here")], "item_id long, text string")
+    none = labels.limit(0)
+    for k, (d, lab) in enumerate(((wide, labels), (wide, none), (empty, labels), (empty, none))):
+        folder = str(tmp_path / str(k))
+        write_tables(spark, folder, d, lab, items if k else items.limit(0))
+        rows = pipeline.run(spark, folder).collect()
+        assert (rows == []) == (d is empty)
+    for name, stage in pipeline.STAGES[:-1]:
+        for d in (wide, empty):
+            out = stage(spark, d, str(tmp_path / "0"))
+            assert out.columns == d.columns and out.count() <= d.count(), name
