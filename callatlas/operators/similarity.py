@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callatlas.functions.text import container_name, pascal_split, short_name, signature_tokens
 from callatlas.operators.graph import components
+from callatlas.operators.shards import Rows, against_shards, by_length
 from callatlas.sources.scratch import materialize
 
 DIMS = 384
-#: Vectors of a block that is broadcast to all others: bounds memory, whatever the table's size.
-BLOCK = 4096
+#: Prefixes of a token, and vectors of a bucket, that are joined with each other as one; more are cut into cells.
+CELL_ROWS, BUCKET_ROWS = 2000, 256
 #: Verbs and nouns that labels pass over, lower-cased.
 STOPWORDS = ("get", "set", "the", "and", "for", "with", "from", "this", "that", "async", "to", "of", "is", "has", "on", "in", "by")
 #: Words of test names.
@@ -57,12 +56,6 @@ def check_vectors(vectors: DataFrame, dims: int | None = None) -> DataFrame:
     return vectors.where(F.when(bad, F.raise_error(F.lit("invalid vector")).cast("boolean")).otherwise(F.lit(True)))
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    m = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, z: s + z)
     n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -83,39 +76,37 @@ def similar(vectors: DataFrame, method_id: str, k: int = 10) -> DataFrame:
     return top_k(vectors, row[0], k + 1).where(F.col("method_id") != method_id).limit(k)
 
 
-def _blocked(vectors: DataFrame, emit, schema: str) -> DataFrame:
-    """emit(query ids, query units, ids, units) over every block of at most about BLOCK queries and every Arrow batch."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
-    parts = []
-    for k in range(blocks):
-        rows = vectors.where(F.pmod(F.xxhash64("method_id"), F.lit(blocks)) == k).select("method_id", "vector").orderBy("method_id").collect()
-        asked = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(pa.array([list(r[1]) for r in rows], pa.list_(pa.float64())))))
+def _keyed(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("method_id").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("id is not null and v is not null")
 
-        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-            names, q = asked.value
-            for b in batches:
-                if b.num_rows and len(names):
-                    yield from emit(np.array(names, object), q, np.array(b.column(0).to_pylist(), object), _unit(b.column(1)))
 
-        parts.append(vectors.select("method_id", F.col("vector").cast("array<double>")).mapInArrow(run, schema))
-    return reduce(DataFrame.union, parts)
+def _units(rows: Rows) -> Rows:
+    out = {}
+    for n, (ids, m) in rows.items():
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        out[n] = (ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+    return out
 
 
 def knn(vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, method_id, score and rank of each vector's k + 1 nearest by cosine, itself included.
 
-    Queries go in blocks of bounded size against all rows; each batch keeps its own best before anything is shuffled."""
-
-    def emit(names, q, ids, m):
-        scores = q @ m.T
-        keep = min(k + 1, m.shape[0])
-        least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-        r, c = np.nonzero(scores >= least[:, None] - 1e-6)
-        yield pa.RecordBatch.from_arrays([pa.array(names[r], pa.string()), pa.array(ids[c], pa.string()), pa.array(scores[r, c])], names=["query_id", "method_id", "score"])
-
-    near = _blocked(vectors, emit, "query_id string, method_id string, score double")
+    Vectors are hashed to shards of bounded size; as queries they stream past every shard in blocks. A shard keeps its
+    own best before anything is shuffled. Vectors without id or value take no part, others meet those of their length."""
+
+    def ask(shard: Rows, asked: Rows, _: list) -> Iterator[pa.RecordBatch]:
+        for n, (names, q) in _units(asked).items():
+            if n not in shard:
+                continue
+            ids, m = shard[n]
+            scores = q @ m.T
+            keep = min(k + 1, m.shape[0])
+            least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+            r, c = np.nonzero(scores >= least[:, None] - 1e-6)
+            yield pa.RecordBatch.from_arrays([pa.array(names[r], pa.string()), pa.array(ids[c], pa.string()), pa.array(scores[r, c])], names=["query_id", "method_id", "score"])
+
+    rows = _keyed(vectors)
+    near = against_shards(rows, rows, _units, ask, "query_id string, method_id string, score double")
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "method_id")  # sums in another order differ in the last bits
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
 
@@ -152,16 +143,25 @@ def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def structural_clones(signatures: DataFrame, threshold: float = 0.8, id_col: str = "method_id", text_col: str = "structural_signature") -> DataFrame:
     """Pairs of class representatives with Jaccard similarity of token sets, and ratio of bag sizes, of at least
-    `threshold`: a, b, similarity, clone_type. Exact, by prefix filtering: sets that similar share one of their
-    n - ceil(t n) + 1 rarest tokens, so only those are joined on; sizes prune inside the join."""
+    `threshold`: a, b, similarity, clone_type. structural_members() gives the other members. Exact, by prefix filtering:
+    sets that similar share one of their n - ceil(t n) + 1 rarest tokens, so only those are joined on; sizes and the
+    places of the shared token prune inside the join."""
     classes = materialize(structural_classes(signatures, id_col, text_col), "classes")
     df = classes.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
     ranked = classes.select("rep", "n_bag", F.size("tokens").alias("n"), F.explode("tokens").alias("tok")).join(df, "tok")
     place = W.partitionBy("rep", "n_bag", "n").orderBy("df", "tok")
     prefix = ranked.withColumn("p", F.row_number().over(place)).where(F.expr(f"p <= n - ceil({threshold} * n - 1e-9) + 1"))
-    prefix = materialize(prefix.select("tok", "rep", "n", "n_bag"), "prefix")
-    x, y = prefix.select("tok", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("n_bag").alias("ba")), prefix.select(F.col("tok").alias("tok2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("n_bag").alias("bb"))
-    near = x.join(y, F.expr(f"tok = tok2 and a < b and least(na, nb) >= {threshold} * greatest(na, nb) - 1e-9 and least(ba, bb) >= {threshold} * greatest(ba, bb) - 1e-9")).select("a", "b").distinct()
+    prefix = materialize(prefix.select("tok", "rep", "n", "n_bag", "p"), "prefix")
+    # a token of many prefixes is cut into cells by a hash of rep, and each pair of its cells is joined by itself
+    cells = prefix.groupBy("tok").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells"))
+    cut = prefix.join(cells, "tok").withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    cut = cut.select("tok", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rep", "n", "n_bag", "p")
+    x, y = cut, cut.select(*[F.col(c).alias(f"{c}_y") for c in cut.columns])
+    meet = "tok = tok_y and i = i_y and j = j_y and rep < rep_y and (cell <> cell_y) = (i <> j)"
+    alike = f"least(n, n_y) >= {threshold} * greatest(n, n_y) - 1e-9 and least(n_bag, n_bag_y) >= {threshold} * greatest(n_bag, n_bag_y) - 1e-9"
+    # at the first token that two sets share, what follows in both must make up the overlap that is needed
+    enough = f"1 + least(n - p, n_y - p_y) >= {threshold} / (1 + {threshold}) * (n + n_y) - 1e-9"
+    near = x.join(y, F.expr(f"{meet} and {alike} and {enough}")).select(F.col("rep").alias("a"), F.col("rep_y").alias("b")).distinct()
     sets = classes.select("rep", "tokens")
     both = near.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
@@ -180,31 +180,77 @@ def hybrid(structural: DataFrame, semantic: DataFrame, alpha: float = 0.4, least
     return both.where(F.col("hybrid_score") >= least).withColumn("clone_type", kind)
 
 
-def lsh_candidates(vectors: DataFrame, dims: int, planes: int = 32, bands: int = 8, seed: int = 42) -> DataFrame:
-    """Pairs a < b that share the sign pattern of a band of random hyperplanes in one band at least."""
-    g = np.random.default_rng(seed).standard_normal((planes, dims))
+def lsh_buckets(vectors: DataFrame, planes: int = 32, bands: int = 8, seed: int = 42) -> DataFrame:
+    """id and bucket, one for each band: the band and the sign pattern of its random hyperplanes. The planes are normal
+    deviates of the seed, drawn for the vectors' length."""
     rows = planes // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, np.ndarray] = {}
         for b in batches:
-            bits = (_unit(b.column(1)) @ g.T >= 0).reshape(b.num_rows, bands, rows)
-            key = (bits * (1 << np.arange(rows))).sum(2) + (np.arange(bands) << rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0).to_pylist(), object), bands), pa.string()), pa.array(key.ravel().astype(np.int64))], names=["id", "bucket"])
+            for n, (ids, m) in by_length(np.array(b.column(0).to_pylist(), object), b.column(1)).items():
+                if n not in drawn:
+                    drawn[n] = np.random.default_rng(seed).standard_normal((planes, n))
+                bits = (m @ drawn[n].T >= 0).reshape(len(m), bands, rows)
+                key = (bits * (1 << np.arange(rows))).sum(2) + (np.arange(bands) << rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands), pa.string()), pa.array(key.ravel().astype(np.int64))], names=["id", "bucket"])
 
-    one = materialize(vectors.select("method_id", F.col("vector").cast("array<double>")).mapInArrow(run, "id string, bucket long"), "buckets")
+    return _keyed(vectors).mapInArrow(run, "id string, bucket long")
+
+
+def lsh_candidates(vectors: DataFrame, planes: int = 32, bands: int = 8, seed: int = 42) -> DataFrame:
+    """Pairs a < b that share a bucket in one band at least. A small table only: buckets are few, so pairs are many; use
+    lsh_pairs() for those within a distance."""
+    one = materialize(lsh_buckets(vectors, planes, bands, seed), "buckets")
     x, y = one.select("bucket", F.col("id").alias("a")), one.select(F.col("bucket").alias("bucket2"), F.col("id").alias("b"))
     return x.join(y, F.expr("bucket = bucket2 and a < b")).select("a", "b").distinct()
 
 
+def lsh_pairs(vectors: DataFrame, eps: float, bands: int = 16, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs a < b within a cosine distance that share a bucket: near_pairs() but for recall, without all pairs. A band
+    takes as many hyperplanes as give buckets of about `bucket_rows` vectors; a fuller one is cut by a hash into cells
+    of that size, and two of its vectors meet in the cell of either's pair of cells, so none is lost. The distance is
+    checked in the join's task."""
+    n = vectors.count()
+    rows = max(4, math.ceil(math.log2(max(1, n) / bucket_rows)))
+    one = materialize(lsh_buckets(vectors, bands * rows, bands, seed), "buckets")
+    cells = one.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("cells"))
+    cut = one.join(cells, "bucket").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    # cell pairs (i, j), i <= j: a vector of cell c is sent to all pairs with c
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    sent = cut.withColumn("other", other).select("bucket", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "id")
+    sent = sent.join(_keyed(vectors), "id")
+    schema = "a string, b string"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        side, i, j = t.column("cell").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        for _, (names, m) in _units(by_length(np.arange(t.num_rows), t.column("v").combine_chunks())).items():
+            ids = np.array(t.column("id").take(names).to_pylist(), object)
+            left, right = np.flatnonzero(side[names] == i), np.flatnonzero(side[names] == j)
+            r, c = np.nonzero(1 - m[left] @ m[right].T <= eps + 1e-12)
+            a, b = ids[left[r]], ids[right[c]]
+            a, b = np.where(a < b, a, b), np.where(a < b, b, a)
+            keep = a != b
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.string()), pa.array(b[keep], pa.string())], names=["a", "b"])
+
+    return sent.groupBy("bucket", "i", "j").applyInArrow(meet, schema).distinct()
+
+
 def near_pairs(vectors: DataFrame, eps: float) -> DataFrame:
     """Pairs a < b within a cosine distance, exactly."""
 
-    def emit(names, q, ids, m):
-        r, c = np.nonzero(1 - q @ m.T <= eps + 1e-12)
-        keep = names[r] < ids[c]
-        yield pa.RecordBatch.from_arrays([pa.array(names[r][keep], pa.string()), pa.array(ids[c][keep], pa.string())], names=["a", "b"])
+    def ask(shard: Rows, asked: Rows, _: list) -> Iterator[pa.RecordBatch]:
+        for n, (names, q) in _units(asked).items():
+            if n not in shard:
+                continue
+            ids, m = shard[n]
+            r, c = np.nonzero(1 - q @ m.T <= eps + 1e-12)
+            keep = names[r] < ids[c]
+            yield pa.RecordBatch.from_arrays([pa.array(names[r][keep], pa.string()), pa.array(ids[c][keep], pa.string())], names=["a", "b"])
 
-    return _blocked(vectors, emit, "a string, b string")
+    rows = _keyed(vectors)
+    return against_shards(rows, rows, _units, ask, "a string, b string")
 
 
 def dbscan(vectors: DataFrame, eps: float = 0.3, min_points: int = 3, pairs: DataFrame | None = None) -> DataFrame:
@@ -223,10 +269,13 @@ def dbscan(vectors: DataFrame, eps: float = 0.3, min_points: int = 3, pairs: Dat
 
 
 def number_clusters(members: DataFrame) -> DataFrame:
-    """cluster, cluster_id (cluster-N, the largest first; ties: smaller first member) and member_count."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("member_count"))
-    order = W.orderBy(F.desc("member_count"), "cluster")  # one row of each cluster
-    return sizes.withColumn("cluster_id", F.concat(F.lit("cluster-"), F.row_number().over(order) - 1))
+    """cluster, cluster_id (cluster-N, the largest first; ties: smaller first member) and member_count. Sizes are few
+    however many clusters there are; clusters are numbered within theirs, after all those of greater sizes."""
+    sizes = materialize(members.groupBy("cluster").agg(F.count("*").alias("member_count")), "cluster-sizes")
+    per = sizes.groupBy("member_count").agg(F.count("*").alias("n"))
+    before = per.select("member_count", (F.sum("n").over(W.orderBy(F.desc("member_count"))) - F.col("n")).alias("before"))  # a row for each distinct size
+    place = F.row_number().over(W.partitionBy("member_count").orderBy("cluster")) - 1
+    return sizes.withColumn("place", place).join(before, "member_count").select("cluster", "member_count", F.concat(F.lit("cluster-"), F.col("before") + F.col("place")).alias("cluster_id"))
 
 
 def cohesion(vectors: DataFrame, members: DataFrame, key: str = "cluster") -> DataFrame:

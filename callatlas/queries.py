@@ -197,7 +197,8 @@ query(
     "dbscan_clusters",
     f"WITH RECURSIVE {_V}, p AS (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE a.id<>b.id AND 1-list_cosine_similarity(a.e,b.e)<=0.6), core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*)>=2), cc AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), w(id, root) AS (SELECT id, id FROM core UNION SELECT cc.b, w.root FROM w JOIN cc ON cc.a=w.id), co AS (SELECT id, min(root) AS cluster FROM w GROUP BY id) SELECT id AS method_id, cluster FROM co UNION ALL SELECT p.a, min(co.cluster) FROM p JOIN co ON p.b=co.id WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a",
 )(lambda s, d: S.dbscan(_vectors(s, d), 0.6, 2))
-query("lsh_candidates")(lambda s, d: S.lsh_candidates(_vectors(s, d), 64))
+query("lsh_candidates")(lambda s, d: S.lsh_candidates(_vectors(s, d)))
+query("lsh_pairs")(lambda s, d: S.lsh_pairs(_vectors(s, d), 0.6))
 query("cluster_cohesion", f"WITH {_V} SELECT 'cluster-'||a.label AS cluster, round(avg(list_cosine_similarity(a.e,b.e)),4) AS cohesion FROM v a JOIN v b ON a.label=b.label AND a.id<>b.id GROUP BY a.label")(lambda s, d: S.cohesion(_vectors(s, d), graph(s, d).method_cluster_map.withColumnRenamed("cluster_id", "cluster")).withColumn("cohesion", F.round("cohesion", 4)))
 query("cluster_numbers", "SELECT 'cluster-'||label AS cluster, count(*) AS member_count, 'cluster-'||(row_number() OVER (ORDER BY count(*) DESC, 'cluster-'||label)-1) AS cluster_id FROM embeddings GROUP BY label")(lambda s, d: S.number_clusters(graph(s, d).method_cluster_map.withColumnRenamed("cluster_id", "cluster")))
 query("cluster_labels", f"{_BASE} SELECT p_brand AS cluster, arg_min(tname, (-n, lower(tname)))||' operations' AS label FROM (SELECT p_brand, tname, count(*) AS n FROM m GROUP BY 1,2) GROUP BY 1")(lambda s, d: S.cluster_labels(graph(s, d).methods.join(read(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("cluster")), "id").select("cluster", F.regexp_replace("full_name", r"\.[^.(]*\(", ".x(").alias("method_id"))))
