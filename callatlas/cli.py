@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import argparse
+import datetime
+import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callatlas.operators import architecture, drift, graph, relational, similarity
-from callatlas.operators.context import context
-from callatlas.plans.graph_query import GraphQuery, execute
+from callatlas.operators import architecture, drift, embedding, graph, relational, similarity
+from callatlas.operators.context import build, context
+from callatlas.plans.graph_query import Expand, GraphQuery, Output, Rank, Seed, execute, json_schema
 from callatlas.render import FORMATS, render
+from callatlas.sources import csharp, git
 from callatlas.sources import tables as T
 
+#: Names of ranking strategies on the command line.
+STRATEGIES = {"blast-radius": "blastRadius", "complexity": "complexity", "coupling": "coupling", "combined": "combined"}
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="callatlas")
@@ -48,13 +54,58 @@ def parser() -> argparse.ArgumentParser:
     y.add_argument("--min-confidence", type=float, default=0.0)
     add("check-deps").add_argument("--rules")
     add("protected").add_argument("--zones", required=True)
-    add("token-search").add_argument("query")
-    add("query").add_argument("document", help="JSON of a graph query")
+    for name in ("token-search", "semantic-search"):
+        add(name).add_argument("query")
+    q = add("query")
+    q.add_argument("document", nargs="?", help="JSON of a graph query")
+    q.add_argument("--query-file")
+    q.add_argument("--seed")
+    q.add_argument("--depth", type=int, default=3)
+    q.add_argument("--direction", default="both")
+    q.add_argument("--rank", choices=sorted(STRATEGIES), default="blast-radius")
+    q.add_argument("--schema", action="store_true")
+    z = add("analyze")
+    z.add_argument("sources", help="folder of the source files")
+    z.add_argument("--save-baseline", action="store_true")
+    z.add_argument("--no-clusters", action="store_true")
+    u = add("churn")
+    u.add_argument("repository")
+    u.add_argument("--since", default="6 months ago")
+    f = add("diff")
+    f.add_argument("repository")
+    f.add_argument("--from", dest="old", default="HEAD~1")
+    f.add_argument("--to", dest="new", default="HEAD")
+    f.add_argument("--complex", action="store_true", help="only the most complex of them")
+    add("serve")
     for name in ("clusters", "drift", "blast-radius", "status", "save-baseline"):
         add(name)
     return p
 
 
+def query_of(document: str | None, path: str | None, seed: str | None, depth: int = 3, direction: str = "both", rank: str = "blast-radius", top: int = 20) -> GraphQuery:
+    """A graph query from a file, else from JSON, else from quick options."""
+    if path:
+        with open(path, encoding="utf-8") as f:
+            return GraphQuery.from_json(f.read())
+    if document:
+        return GraphQuery.from_json(document)
+    if not seed or not seed.strip():
+        raise ValueError("one of a document, --query-file and --seed is needed")
+    named = Seed(methodId=seed) if "(" in seed and not set("*?") & set(seed) else Seed(methodPattern=seed)
+    return GraphQuery(named, Expand(direction, depth, direction != "none"), None, Rank(STRATEGIES[rank]), Output(top))
+
+
+def analyze(spark: SparkSession, root: str, sources: str, baseline: bool = False, clusters: bool = True) -> DataFrame:
+    """Read source files, build everything derived, store it as the current snapshot; a summary with the errors."""
+    t, _, errors = csharp.ingest(spark, csharp.read_sources(spark, sources), sources.rstrip("/").split("/")[-1], sources)
+    t = build(t, clusters)
+    stamp = [(k, v) for k, v in (("analyzed_at", datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")), ("commit", git.head(sources))) if v]
+    T.save(t.with_tables(metadata=T.upsert_metadata(t.metadata, spark.createDataFrame(stamp, "key string, value string"))), root)
+    if baseline:
+        T.save_baseline(spark, root)
+    return relational.summary(T.load(spark, root)).crossJoin(errors.agg(F.count("*").alias("n_errors")))  # one row each
+
+
 def method_id(t: T.GraphTables, name: str) -> str:
     rows = relational.resolve_method(t, name).limit(2).collect()
     if not rows:
@@ -64,7 +115,14 @@ def method_id(t: T.GraphTables, name: str) -> str:
     return rows[0].id
 
 
+def named(t: T.GraphTables, found: DataFrame) -> DataFrame:
+    """Found methods with their full names where these are known."""
+    return found.join(t.methods.select(F.col("id").alias("method_id"), "full_name"), "method_id", "left")
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    if a.command == "analyze":
+        return analyze(spark, a.root, a.sources, a.save_baseline, not a.no_clusters)
     t = T.load(spark, a.root, a.snapshot)
     one = lambda: method_id(t, a.method)
     match a.command:
@@ -104,7 +162,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
             cells = similarity.hash_embedding(t.normalized_methods, "method_id", "semantic_payload")
             return similarity.search_tokens(spark, cells, a.query, a.top)
         case "query":
-            return execute(t, GraphQuery.from_json(a.document))
+            return execute(t, query_of(a.document, a.query_file, a.seed, a.depth, a.direction, a.rank, a.top))
+        case "semantic-search":
+            return named(t, embedding.semantic_search(spark, t.embeddings, a.query, k=a.top)).orderBy(F.desc("score"), "method_id")
+        case "churn":
+            return relational.churn(t, git.commits(spark, a.repository, a.since)).orderBy(F.desc("churn_score"), "id")
+        case "diff":
+            found = relational.diff(t, git.changed_files(spark, a.repository, a.old, a.new))
+            return relational.diff_complex(found) if a.complex else found.orderBy("id")
         case "clusters":
             return t.intent_clusters.orderBy(F.desc("member_count"), "id")
         case "drift":
@@ -120,7 +185,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "query" and a.schema:
+        print(json.dumps(json_schema(), indent=2))
+        return 0
     spark = SparkSession.builder.appName("callatlas").getOrCreate()
+    if a.command == "serve":
+        from callatlas.server import serve
+
+        serve(spark, a.root, sys.stdin, sys.stdout)
+        return 0
     out = run(spark, a)
     if out is not None:
         print(render(out, a.format, a.top))

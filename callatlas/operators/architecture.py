@@ -30,25 +30,22 @@ LEGAL: dict[str, list[str]] = {
     "Infrastructure": ["Domain", "Shared"],
     "Shared": [],
 }
-#: Default dependency rules: from, to, severity.
+#: Default dependency rules.
 DEFAULT_RULES: list[dict] = [
-    {"name": f"{a} → {b}", "from": f"*.{x}.*", "to": y, "type": "Forbidden", "severity": s}
-    for a, b, x, y, s in [
-        ("Domain", "Infrastructure", "Domain", "*.Infrastructure.*", "Error"),
-        ("Domain", "Presentation", "Domain", "*.Controllers.*", "Error"),
-        ("Domain", "Api", "Domain", "*.Api.*", "Error"),
-        ("Domain", "Web", "Domain", "*.Web.*", "Error"),
-        ("Application", "Presentation", "Application", "*.Controllers.*", "Error"),
-        ("Application", "Api", "Application", "*.Api.*", "Error"),
-        ("Infrastructure", "Presentation", "Infrastructure", "*.Controllers.*", "Error"),
-        ("Service", "Controller", "Services", "*.Controllers.*", "Error"),
-        ("Handler", "Controller", "Handlers", "*.Controllers.*", "Error"),
-        ("Repository", "Service", "Repositories", "*.Services.*", "Warning"),
-        ("Entity", "DbContext", "Entities", "*.DbContext*", "Error"),
-        ("Entity", "Repository", "Entities", "*.Repositories.*", "Error"),
-    ]
+    {"name": "Domain → Infrastructure", "from": "*.Domain.*", "to": "*.Infrastructure.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Domain → Presentation", "from": "*.Domain.*", "to": "*.Controllers.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Domain → Api", "from": "*.Domain.*", "to": "*.Api.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Domain → Web", "from": "*.Domain.*", "to": "*.Web.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Application → Presentation", "from": "*.Application.*", "to": "*.Controllers.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Application → Api", "from": "*.Application.*", "to": "*.Api.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Infrastructure → Presentation", "from": "*.Infrastructure.*", "to": "*.Controllers.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Service → Controller", "from": "*.Services.*", "to": "*.Controllers.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Handler → Controller", "from": "*.Handlers.*", "to": "*.Controllers.*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Repository → Service", "from": "*.Repositories.*", "to": "*.Services.*", "type": "Forbidden", "severity": "Warning"},
+    {"name": "Entity → DbContext", "from": "*.Entities.*", "to": "*.DbContext*", "type": "Forbidden", "severity": "Error"},
+    {"name": "Entity → Repository", "from": "*.Entities.*", "to": "*.Repositories.*", "type": "Forbidden", "severity": "Error"},
 ]
-#: Words of protection levels.
+#: Words of protection levels; the reasons of detect_layers() are fixed as well.
 LEVEL_WORDS = {"DoNotModify": "DO NOT MODIFY", "RequireApproval": "REQUIRES APPROVAL", "Deprecated": "DEPRECATED"}
 
 
@@ -59,8 +56,8 @@ def _keyword(pattern: str) -> str:
 def detect_layers(t: GraphTables, patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """type_id (namespace and name), layer, confidence and reason of every type with methods.
 
-    Name endings decide first; then the best of the patterns against full name (1), namespace (0.95) or as part of the
-    namespace (0.8), the first among equals; then a keyword in namespace or name (0.5). Patterns are few, so they are
+    Name endings decide first; then the best of the patterns against full name (1), namespace (0.95), as its end (0.9)
+    or as part of it (0.8), the first among equals; then a keyword in namespace or name (0.5). Patterns are few, so they are
     literal expressions over one row of each type instead of a join."""
     patterns = patterns or LAYER_PATTERNS
     rows = tree(t, include_private=True, skip_tests=True).groupBy("namespace", "type").agg(F.min("kind").alias("kind"))
@@ -76,8 +73,10 @@ def detect_layers(t: GraphTables, patterns: dict[str, list[str]] | None = None)
     levels += [(glob(full, p), made(layer, 1.0, f"Namespace pattern: {p}")) for layer, p in flat]
     levels += [(glob("namespace", p), made(layer, 0.95, f"Namespace pattern: {p}")) for layer, p in flat]
     lower = lambda c, s: F.contains(F.lower(F.col(c)), F.lit(s.lower()))
-    levels += [(lower("namespace", p.rstrip(".*").replace("*.", "")), made(layer, 0.8, f"Namespace pattern: {p}")) for layer, p in flat]
-    levels += [(lower("namespace", _keyword(p)) | lower("type", _keyword(p)), made(layer, 0.5, f"Partial match: contains '{_keyword(p)}'")) for layer, p in flat]
+    ends = lambda p: F.lower("namespace").endswith(p.rstrip(".*").lower())
+    levels += [(ends(p), made(layer, 0.9, f"Namespace pattern: {p}")) for layer, p in flat if p.rstrip(".*")]
+    levels += [(lower("namespace", p.rstrip(".*").replace("*.", "")), made(layer, 0.8, f"Namespace pattern: {p}")) for layer, p in flat if p.rstrip(".*").replace("*.", "")]
+    levels += [(lower("namespace", _keyword(p)) | lower("type", _keyword(p)), made(layer, 0.5, f"Partial match: contains '{_keyword(p)}'")) for layer, p in flat if _keyword(p)]
     best = F.coalesce(*[F.when(c, s) for c, s in levels], made("Unknown", 0.0, "No pattern match"))
     return rows.select(full.alias("type_id"), best.alias("b")).select("type_id", "b.layer", "b.confidence", "b.reason")
 
@@ -128,13 +127,21 @@ def violations(t: GraphTables, rules: list[dict] | None = None) -> DataFrame:
     hits = t.method_calls.join(callers, "caller_id").join(callees, "callee_id").select("caller_id", "callee_id", "caller", "callee", F.explode(F.array_intersect("f", "g")).alias("i"))
     name = F.element_at(F.array(*[F.lit(r["name"]) for r in rules]) if rules else F.array(F.lit("")), F.col("i") + 1)
     severity = F.element_at(F.array(*[F.lit(r.get("severity", "Error")) for r in rules]) if rules else F.array(F.lit("")), F.col("i") + 1)
-    return hits.select("caller_id", "callee_id", "caller", "callee", name.alias("rule"), severity.alias("severity"))
+    why = F.element_at(F.array(*[F.lit(r.get("description", "")) for r in rules]) if rules else F.array(F.lit("")), F.col("i") + 1)
+    return hits.select("caller_id", "callee_id", "caller", "callee", name.alias("rule"), severity.alias("severity"), why.alias("description"))
 
 
 def violation_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Error").alias("errors"), F.count_if(F.col("severity") == "Warning").alias("warnings"))
 
 
+def check_summary(t: GraphTables, rules: list[dict] | None = None) -> DataFrame:
+    """One row: violations, errors, warnings, calls_checked and rules_applied (all rules, the allowing ones too)."""
+    rules = DEFAULT_RULES if rules is None else rules
+    found = violations(t, rules).agg(F.count("*").alias("violations"), F.count_if(F.col("severity") == "Error").alias("errors"), F.count_if(F.col("severity") == "Warning").alias("warnings"))
+    return found.crossJoin(calls_checked(t)).withColumn("rules_applied", F.lit(len(rules)))  # one row each
+
+
 def calls_checked(t: GraphTables) -> DataFrame:
     """Out-calls of known methods, known callees or not."""
     return t.method_calls.join(t.methods.select(F.col("id").alias("caller_id")), "caller_id", "left_semi").agg(F.count("*").alias("calls_checked"))

@@ -36,10 +36,30 @@ def _label_places(t: GraphTables) -> DataFrame:
 
 
 def scattering(current: GraphTables, baseline: GraphTables) -> DataFrame:
-    """Labels of the baseline whose methods now lie in more namespaces: label, new_namespaces (a count)."""
+    """Labels of the baseline whose methods now lie in more namespaces: label, new_namespaces (a count), namespaces
+    (those, sorted) and new_members (a count of methods that had not the label)."""
     c, b = _label_places(current), _label_places(baseline)
     gained = c.join(b, ["label", "ns"], "left_anti").join(b.select("label").distinct(), "label", "left_semi")
-    return gained.groupBy("label").agg(F.count("*").alias("new_namespaces"))
+    named = gained.groupBy("label").agg(F.count("*").alias("new_namespaces"), F.array_sort(F.collect_list("ns")).alias("namespaces"))  # namespaces of one label
+    joined = new_members(current, baseline).groupBy("label").agg(F.count("*").alias("new_members"))
+    return named.join(joined, "label", "left").select("label", "new_namespaces", "namespaces", F.coalesce("new_members", F.lit(0)).alias("new_members"))
+
+
+def _members(t: GraphTables) -> DataFrame:
+    return t.method_cluster_map.join(t.intent_clusters.select(F.col("id").alias("cluster_id"), "label"), "cluster_id").select("label", F.col("method_id").alias("id")).distinct()
+
+
+def new_members(current: GraphTables, baseline: GraphTables) -> DataFrame:
+    """label and id of methods that have a label of the baseline now and had not then."""
+    b = _members(baseline)
+    return _members(current).join(b, ["label", "id"], "left_anti").join(b.select("label").distinct(), "label", "left_semi")
+
+
+def method_details(t: GraphTables) -> DataFrame:
+    """id, full_name, type and namespace of every method whose type and namespace are known."""
+    y = t.types.select(F.col("id").alias("type_id"), F.col("full_name").alias("type"), "namespace_id")
+    n = t.namespaces.select(F.col("id").alias("namespace_id"), F.col("full_name").alias("namespace"))
+    return t.methods.select("id", "full_name", "type_id").join(y, "type_id").join(n, "namespace_id").select("id", "full_name", "type", "namespace")
 
 
 def report(current: GraphTables, baseline: GraphTables) -> DataFrame:

@@ -7,7 +7,9 @@ lost executor costs a round at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -73,6 +75,41 @@ def bfs(calls: DataFrame, seeds: DataFrame, direction: str = "callees", max_dept
     return reduce(DataFrame.union, levels)
 
 
+def bfs_by_seed(calls: DataFrame, seeds: DataFrame, direction: str, max_depth: int) -> DataFrame:
+    """id, depth and seq of everything within max_depth of the seeds (columns id and seq, one row each): the first seed
+    that reaches a node is the one with the least seq, and depth is the distance from it. Each round takes the least
+    (seq, depth) over the neighbours', so no pair of seed and node is held."""
+    spark = calls.sparkSession
+    edges = materialize(directed(calls, direction), "edges")
+    seeds = materialize(seeds.groupBy("id").agg(F.min("seq").cast("long").alias("seq")), "seeds")
+    table = held(edges)
+    names = None if table is None else held(seeds.select("id"))
+    if names is not None:
+        order = {r.id: r.seq for r in seeds.collect()}  # the ids were measured
+        g = Digraph.of(table)
+        ranked = sorted(order, key=order.get)
+        inside = set(g.names.tolist())
+        starts = [n for n in ranked if n in inside]
+        at, depth = g.first_starts(g.numbers(starts), max_depth) if starts else (np.full(len(g.names), -1), np.full(len(g.names), -1))
+        found = np.flatnonzero(at >= 0)
+        alone = [n for n in ranked if n not in inside]
+        ids = [*g.names[found].tolist(), *alone]
+        seqs = [*[order[starts[k]] for k in at[found].tolist()], *[order[n] for n in alone]]
+        rows = pa.table({"id": pa.array(ids, pa.string()), "depth": pa.array([*depth[found].tolist(), *[0] * len(alone)], pa.int32()), "seq": pa.array(seqs, pa.int64())})
+        return spark.createDataFrame(rows, "id string, depth int, seq long")
+    best = lambda d: d.groupBy("id").agg(F.min(F.struct("seq", "depth")).alias("b")).select("id", "b.depth", "b.seq")
+    state = materialize(seeds.select("id", F.lit(0).alias("depth"), "seq"), "state")
+    front = state
+    for _ in range(max_depth):
+        step = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"), "seq")
+        new = materialize(best(state.union(step)), "state")
+        front = new.join(state, ["id", "depth", "seq"], "left_anti")
+        state = new
+        if front.isEmpty():
+            break
+    return state
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst, d of all connected ordered pairs over edges src, dst; d is the shortest path's length. A node on a
     cycle reaches itself. The result has as many rows as there are such pairs, up to the square of the nodes.
@@ -282,11 +319,58 @@ def callgraph(t: GraphTables, method_id: str, max_depth: int = 2, direction: str
     return nodes, reduce(DataFrame.union, parts)
 
 
-def walk(t: GraphTables, seed: str, direction: str = "callees", max_depth: int = 3, order: str = "bfs", max_results: int | None = None) -> list[tuple[str, int]]:
-    """Order-dependent traversals, on the driver over the seed's depth-bounded neighbourhood: depth-first (nodes are
-    marked when pushed) and early stops. Neighbours go by id, callees before callers."""
-    near = bfs(t.method_calls, t.methods.where(F.col("id") == seed).select("id"), direction, max_depth).select("id")
-    edges = directed(t.method_calls, "callees").join(near.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(directed(t.method_calls, "callees").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")).distinct()
+@dataclass(frozen=True)
+class Traversal:
+    """What a traversal is asked for; errors() lists what is wrong with it."""
+
+    seed: str
+    direction: str = "both"
+    max_depth: int = 3
+    order: str = "bfs"
+    max_results: int | None = None
+
+    def errors(self) -> list[str]:
+        found = []
+        if not self.seed or not self.seed.strip():
+            found.append("seed: is needed")
+        if self.direction not in DIRECTIONS:
+            found.append(f"direction: one of {', '.join(DIRECTIONS)}")
+        if self.max_depth < 1:
+            found.append("max_depth: at least 1")
+        if self.order not in ("bfs", "dfs"):
+            found.append("order: bfs or dfs")
+        if self.max_results is not None and self.max_results < 1:
+            found.append("max_results: at least 1 if it is given")
+        return found
+
+
+@dataclass(frozen=True)
+class Walked:
+    """Nodes in the order of the walk with their depths, edges as they were scanned, and how many nodes were marked."""
+
+    nodes: list[tuple[str, int]]
+    edges: list[tuple[str, str, str]]
+    total_visited: int
+
+
+def check_weights(weights: tuple[float, float, float]) -> None:
+    """An error unless the weights of a combined ranking sum to 1, give or take a hundredth."""
+    if abs(sum(weights) - 1) > 0.01:
+        raise ValueError(f"ranking weights sum to {sum(weights):.2f} and not to 1")
+
+
+def traverse(t: GraphTables, ask: Traversal) -> Walked:
+    """Order-dependent walks: breadth first, or depth first with nodes marked when they are pushed; with `max_results`
+    a walk stops once it has so many nodes, and the node that met the limit counts as visited. Neighbours go by id,
+    callees before callers. Runs on the driver over the seed's depth-bounded neighbourhood, of DRIVER_EDGES at most;
+    bfs() has no such bound."""
+    if found := ask.errors():
+        raise ValueError("; ".join(found))
+    near = materialize(bfs(t.method_calls, t.methods.where(F.col("id") == ask.seed).select("id"), ask.direction, ask.max_depth).select("id"), "near")
+    if near.isEmpty():
+        return Walked([], [], 0)
+    down_all = directed(t.method_calls, "callees")
+    edges = down_all.join(near.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(down_all.join(near.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")).distinct()
     rows = edges.limit(DRIVER_EDGES + 1).collect()
     if len(rows) > DRIVER_EDGES:
         raise ValueError(f"over {DRIVER_EDGES} edges are near: use bfs() or a smaller depth")
@@ -295,23 +379,63 @@ def walk(t: GraphTables, seed: str, direction: str = "callees", max_depth: int =
     for s, d in sorted(map(tuple, rows)):
         down.setdefault(s, []).append(d)
         up.setdefault(d, []).append(s)
-    near_of = lambda n: (sorted(down.get(n, [])) if direction != "callers" else []) + (sorted(up.get(n, [])) if direction != "callees" else [])
-    if near.isEmpty():
-        return []
-    seen, out, todo = {seed}, [], [(seed, 0)]
-    while todo and (max_results is None or len(out) < max_results):
-        node, depth = todo.pop(0 if order == "bfs" else -1)
-        out.append((node, depth))
-        if depth < max_depth:
-            new = [n for n in dict.fromkeys(near_of(node)) if n not in seen]
-            seen.update(new)
-            todo += [(n, depth + 1) for n in (new if order == "bfs" else reversed(new))]
-    return out
-
-
-def rank(t: GraphTables, nodes: DataFrame, by: str = "combined") -> DataFrame:
+    sides = [(w, side) for w, side in (("callees", down), ("callers", up)) if ask.direction in (w, "both")]
+    most = ask.max_results or math.inf
+    seen, nodes, scanned = {ask.seed}, [(ask.seed, 0)], []
+    todo = [(ask.seed, 0)]
+    if ask.order == "dfs":
+        nodes = []
+    while todo and len(nodes) < most:
+        node, depth = todo.pop(0 if ask.order == "bfs" else -1)
+        if ask.order == "dfs":
+            nodes.append((node, depth))
+        if depth >= ask.max_depth:
+            continue
+        new = []
+        for which, side in sides:
+            for other in side.get(node, []):
+                scanned.append((node, other, which) if which == "callees" else (other, node, which))
+                if other in seen:
+                    continue
+                seen.add(other)
+                if ask.order == "bfs":
+                    if len(nodes) >= most:
+                        break
+                    nodes.append((other, depth + 1))
+                new.append((other, depth + 1))
+            if len(nodes) >= most:
+                break
+        todo += new if ask.order == "bfs" else reversed(new)
+    return Walked(nodes, scanned, len(seen))
+
+
+def walk(t: GraphTables, seed: str, direction: str = "callees", max_depth: int = 3, order: str = "bfs", max_results: int | None = None) -> list[tuple[str, int]]:
+    """The nodes of traverse(), with their depths."""
+    return traverse(t, Traversal(seed, direction, max_depth, order, max_results)).nodes
+
+
+def scanned_edges(calls: DataFrame, nodes: DataFrame, direction: str, max_depth: int) -> DataFrame:
+    """from_id, to_id and direction of the edges that a walk scans: out of every node (id, depth) nearer than max_depth.
+    With both directions an edge can come twice."""
+    inner = nodes.where(F.col("depth") < max_depth).select("id")
+    simple = calls.select("caller_id", "callee_id").where("caller_id <> callee_id").distinct()
+    parts = []
+    for which, end in (("callees", "caller_id"), ("callers", "callee_id")):
+        if direction in (which, "both"):
+            parts.append(simple.join(inner.withColumnRenamed("id", end), end, "left_semi").select(F.col("caller_id").alias("from_id"), F.col("callee_id").alias("to_id"), F.lit(which).alias("direction")))
+    return reduce(DataFrame.union, parts)
+
+
+def entry_callers(t: GraphTables, method_id: str) -> DataFrame:
+    """Entry points that reach a method, nearest first: id, full_name and depth. All of them are found."""
+    found = impact(t, method_id).where("is_entry and depth > 0")
+    return found.select("id", "full_name", "depth").orderBy("depth", "id")
+
+
+def rank(t: GraphTables, nodes: DataFrame, by: str = "combined", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """Score of nodes (column id): blast radius, complexity, coupling, or all three, each over its greatest among the
     nodes, weighted. A single node scores 0."""
+    check_weights(weights)
     edges = t.method_calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).where("src <> dst").distinct()
     br = callers_of(edges, nodes)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("coup"))
@@ -320,7 +444,7 @@ def rank(t: GraphTables, nodes: DataFrame, by: str = "combined") -> DataFrame:
     top = rows.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"max_{c}") for c in ("br", "cc", "coup")], F.count("*").alias("n"))
     rows = rows.crossJoin(F.broadcast(top))  # one row
     part = {c: F.col(c) / F.col(f"max_{c}") for c in ("br", "cc", "coup")}
-    score = {"blast": F.col("br").cast("double"), "complexity": F.col("cc").cast("double"), "coupling": F.col("coup").cast("double"), "combined": WEIGHTS[0] * part["br"] + WEIGHTS[1] * part["cc"] + WEIGHTS[2] * part["coup"]}[by]
+    score = {"blast": F.col("br").cast("double"), "complexity": F.col("cc").cast("double"), "coupling": F.col("coup").cast("double"), "combined": weights[0] * part["br"] + weights[1] * part["cc"] + weights[2] * part["coup"]}[by]
     return rows.select("id", F.when(F.col("n") > 1, F.round(score, 6)).otherwise(0.0).alias("score"))
 
 

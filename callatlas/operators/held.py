@@ -83,6 +83,23 @@ class Digraph:
             near, d = found[depth[found] < 0], d + 1
         return depth
 
+    def first_starts(self, starts: np.ndarray, max_depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each node the place in `starts` of the first one that reaches it in max_depth steps, and its distance
+        from that one; -1 for both where none does."""
+        wide = max_depth + 1
+        none = len(starts) * wide
+        key = np.full(len(self.names), none, np.int64)
+        np.minimum.at(key, starts, np.arange(len(starts)) * wide)
+        near = np.unique(starts)
+        for _ in range(max_depth):
+            place, to = self.edges_from(near)
+            before = key.copy()
+            np.minimum.at(key, to, before[near][place] + 1)
+            near = np.flatnonzero(key < before)
+            if not len(near):
+                break
+        return np.where(key < none, key // wide, -1), np.where(key < none, key % wide, -1)
+
     def spread(self, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Walks from many starts at once: for each distance from 1 the nodes newly reached and, for each, a row of bits
         (little-endian bytes) of the starts that reach it. A start on a cycle reaches itself."""

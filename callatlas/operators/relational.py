@@ -103,7 +103,7 @@ def coupling(t: GraphTables, level: str = "namespace") -> DataFrame:
     rows = g.select("grp").where("grp <> ''").distinct().join(counts, "grp", "left").join(kinds, "grp", "left")
     rows = rows.select("grp", F.coalesce("ca", F.lit(0)).alias("ca"), F.coalesce("ce", F.lit(0)).alias("ce"), F.coalesce("abstractness", F.lit(0.0)).alias("a"))
     rows = rows.withColumn("i", F.when(F.col("ca") + F.col("ce") > 0, F.col("ce") / (F.col("ca") + F.col("ce"))).otherwise(0.0))
-    return rows.select("grp", "ca", "ce", F.round("i", 4).alias("instability"), F.round("a", 4).alias("abstractness"), F.round(F.abs(F.col("a") + F.col("i") - 1), 4).alias("distance"))
+    return rows.select("grp", "ca", "ce", F.bround("i", 4).alias("instability"), F.bround("a", 4).alias("abstractness"), F.bround(F.abs(F.col("a") + F.col("i") - 1), 4).alias("distance"))
 
 
 def export_methods(t: GraphTables, concept: str | None = None) -> DataFrame:
@@ -180,6 +180,44 @@ def diff(t: GraphTables, changed: DataFrame) -> DataFrame:
     return m.withColumn("k", F.lower(base_name(F.col("file_path")))).join(path.select(base_name(F.col("k")).alias("k")).distinct(), "k", "left_semi").drop("k")
 
 
+def diff_complex(found: DataFrame, over: int = 10, top: int = 10) -> DataFrame:
+    """Of diff()'s methods the most complex ones, those over a complexity only."""
+    return found.where(F.col("cognitive_complexity") > over).orderBy(F.desc("cognitive_complexity"), "id").limit(top)
+
+
+def export_edges(t: GraphTables, concept: str | None = None) -> DataFrame:
+    """Calls with either end among the exported methods."""
+    return induced_calls(t, export_methods(t, concept).select("id"))
+
+
+def export_counts(t: GraphTables, concept: str | None = None) -> DataFrame:
+    """One row: methods, relationships and the concept of an export."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(export_methods(t, concept), "method_count").crossJoin(one(export_edges(t, concept), "relationship_count")).withColumn("concept", F.lit(concept).cast("string"))  # one row each
+
+
+def export(t: GraphTables, path: str, form: str = "json", concept: str | None = None) -> None:
+    """Write an export below `path`, a folder for each part: methods, relationships and counts; CSV in full quotes
+    where a value needs them."""
+    if form not in ("json", "csv", "parquet"):
+        raise ValueError("form is one of json, csv, parquet")
+    parts = {"methods": export_methods(t, concept), "relationships": export_edges(t, concept), "counts": export_counts(t, concept)}
+    for name, df in parts.items():
+        w = df.write.mode("overwrite")
+        w = w.option("header", "true").option("escape", '"').option("quote", '"') if form == "csv" else w
+        w.format(form).save(f"{path}/{name}")
+
+
+def ordered_tree(rows: DataFrame) -> DataFrame:
+    """tree()'s rows by project, namespace, type and method."""
+    return rows.orderBy("project", "namespace", "type", "method", "method_id")
+
+
+def cluster_of(t: GraphTables, method_id: str) -> DataFrame:
+    """The cluster of a method: cluster_id, label, cohesion, member_count."""
+    return t.method_cluster_map.where(F.col("method_id") == method_id).join(t.intent_clusters.withColumnRenamed("id", "cluster_id"), "cluster_id").select("cluster_id", "label", "cohesion", "member_count")
+
+
 def summary(t: GraphTables) -> DataFrame:
     """Totals and averages of a build."""
     m = t.metrics.agg(F.count("*").alias("n_metrics"), F.round(F.avg("cognitive_complexity"), 4).alias("avg_complexity"), F.max("blast_radius").alias("max_blast"), F.count_if(F.col("blast_radius") > 10).alias("n_high_impact"))
@@ -200,14 +238,15 @@ def resolve_method(t: GraphTables, name: str) -> DataFrame:
     return out.crossJoin(F.broadcast(out.agg((F.count("*") == 1).alias("unique")))).select("id", "full_name", "kind", "unique")
 
 
-def staleness(spark, metadata: DataFrame, head: str | None, newest_source: str | None, now: str) -> DataFrame:
+def staleness(spark, metadata: DataFrame, head: str | None, newest_source: str | None, now: str, solution_changed: str | None = None) -> DataFrame:
     """One row: stale, level and reason of a store against the repository it was built from."""
     kv = {r[0]: r[1] for r in metadata.where(F.col("key").isin("analyzed_at", "commit")).select("key", "value").collect()}
-    base = spark.range(1).select(F.lit(kv.get("analyzed_at")).cast("timestamp").alias("at"), F.lit(kv.get("commit")).alias("commit"), F.lit(head).alias("head"), F.lit(newest_source).cast("timestamp").alias("newest"), F.lit(now).cast("timestamp").alias("now"))
+    base = spark.range(1).select(F.lit(kv.get("analyzed_at")).cast("timestamp").alias("at"), F.lit(kv.get("commit")).alias("commit"), F.lit(head).alias("head"), F.lit(newest_source).cast("timestamp").alias("newest"), F.lit(now).cast("timestamp").alias("now"), F.lit(solution_changed).cast("timestamp").alias("solution"))
     cases = [
         (F.col("at").isNull(), "high", "never analyzed"),
         (F.col("commit").isNotNull() & F.col("head").isNotNull() & (F.col("commit") != F.col("head")), "high", "commit differs"),
         (F.col("newest") > F.col("at"), "medium", "sources are newer"),
+        (F.col("solution") > F.col("at"), "medium", "solution is newer"),
         (F.datediff("now", "at") > 7, "low", "older than a week"),
     ]
     pick = lambda k, other: reduce(lambda e, c: e.when(c[0], c[k]), cases[1:], F.when(cases[0][0], cases[0][k])).otherwise(other)

@@ -141,6 +141,17 @@ def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return inside.union(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity"))
 
 
+def pairs_among(asked: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) asked for, those that are structurally alike, with their similarity: 1 inside a class, that of
+    the representatives between classes. As long as `asked` at most, however large the classes are."""
+    x, y = members.select(F.col("id").alias("a"), F.col("rep").alias("ra")), members.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
+    placed = asked.select("a", "b").join(x, "a").join(y, "b")
+    both = pairs.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
+    both = both.union(both.select("rb", "ra", "similarity"))
+    found = placed.join(both, ["ra", "rb"], "left").withColumn("similarity", F.when(F.col("ra") == F.col("rb"), 1.0).otherwise(F.col("similarity")))
+    return found.where("similarity is not null").select("a", "b", "similarity")
+
+
 def structural_clones(signatures: DataFrame, threshold: float = 0.8, id_col: str = "method_id", text_col: str = "structural_signature") -> DataFrame:
     """Pairs of class representatives with Jaccard similarity of token sets, and ratio of bag sizes, of at least
     `threshold`: a, b, similarity, clone_type. structural_members() gives the other members. Exact, by prefix filtering:

@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callatlas.functions.text import contains, glob, group_key
-from callatlas.operators.graph import bfs
+from callatlas.functions.text import contains, glob
+from callatlas.operators.graph import bfs_by_seed, scanned_edges
 from callatlas.operators.relational import degrees
+from callatlas.sources.scratch import materialize
 from callatlas.sources.tables import GraphTables
 
 DIRECTIONS = ("callees", "callers", "both", "none")
@@ -43,9 +44,11 @@ class Filter:
     excludeNamespaces: tuple[str, ...] = ()
     includeTypes: tuple[str, ...] = ()
     excludeTypes: tuple[str, ...] = ()
+    includeAccessibility: tuple[str, ...] = ()
     minComplexity: int | None = None
     maxComplexity: int | None = None
     excludeTests: bool = False
+    excludeGenerated: bool = True
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,8 @@ class Rank:
 class Output:
     maxResults: int = 20
     format: str = "compact"
+    includeMetrics: bool = True
+    includeLocation: bool = True
 
 
 @dataclass(frozen=True)
@@ -115,12 +120,13 @@ def validate(q: GraphQuery) -> list[str]:
         errors.append("expand: direction none needs includeTransitive false")
     if q.filter:
         f = q.filter
+        errors += [f"filter.{k}: is below 0" for k in ("minComplexity", "maxComplexity") if (getattr(f, k) or 0) < 0]
         if f.minComplexity is not None and f.maxComplexity is not None and f.minComplexity > f.maxComplexity:
             errors.append("filter: minComplexity is over maxComplexity")
         both = {x.lower() for x in f.includeNamespaces} & {x.lower() for x in f.excludeNamespaces}
         if both:
             errors.append(f"filter: included and excluded: {', '.join(sorted(both))}")
-        for name in ("includeNamespaces", "excludeNamespaces", "includeTypes", "excludeTypes"):
+        for name in ("includeNamespaces", "excludeNamespaces", "includeTypes", "excludeTypes", "includeAccessibility"):
             if any(not x.strip() for x in getattr(f, name)):
                 errors.append(f"filter.{name}: has a blank entry")
     if q.rank.strategy not in STRATEGIES:
@@ -159,8 +165,9 @@ class PlanCache:
 
 
 def seeds(t: GraphTables, s: Seed) -> DataFrame:
-    """Ids that a seed names, distinct: by id, pattern (stars dropped, ? any one character, anywhere in the name),
-    namespace (anywhere in the name) and the largest cluster whose label contains the text."""
+    """id and seq of what a seed names, in the order by id, pattern (stars dropped, ? any one character, anywhere in
+    the name), namespace (anywhere in the name) and the largest cluster whose label contains the text; each id once, at
+    its first place. Places within a part go by id; they are numbered without gathering the ids."""
     parts = []
     if s.methodId:
         parts.append(t.methods.where(F.col("id") == s.methodId).select("id"))
@@ -171,7 +178,10 @@ def seeds(t: GraphTables, s: Seed) -> DataFrame:
     if s.cluster:
         best = t.intent_clusters.where(contains("label", s.cluster)).orderBy(F.desc("member_count"), "id").limit(1)
         parts.append(t.method_cluster_map.join(F.broadcast(best.select(F.col("id").alias("cluster_id"))), "cluster_id").select(F.col("method_id").alias("id")))  # one row
-    return reduce(DataFrame.union, parts).distinct() if parts else t.methods.select("id").limit(0)
+    if not parts:
+        return t.methods.select("id", F.lit(0).cast("long").alias("seq")).limit(0)
+    named = reduce(DataFrame.union, [p.select("id", F.lit(k).alias("part")) for k, p in enumerate(parts)]).groupBy("id").agg(F.min("part").alias("part"))
+    return named.orderBy("part", "id").select("id", F.monotonically_increasing_id().alias("seq"))
 
 
 def _matches(column: Column, entry: str) -> Column:
@@ -179,30 +189,48 @@ def _matches(column: Column, entry: str) -> Column:
 
 
 def filter_condition(f: Filter | None) -> Column:
-    """Include and exclude lists against namespace and type, generated names out; min/max complexity if set."""
+    """Include and exclude lists against the full name, accessibility where it is known, complexity bounds, tests by
+    their names, generated code by its."""
     if f is None:
         return F.lit(True)
-    full, ns = F.col("full_name"), group_key(F.col("full_name"))
-    ty = group_key(F.col("full_name"), "type")
-    any_of = lambda c, es: reduce(lambda a, b: a | b, [_matches(c, e) | _matches(full, e) for e in es])
-    terms = []
-    if f.includeNamespaces:
-        terms.append(any_of(ns, f.includeNamespaces))
-    if f.excludeNamespaces:
-        terms.append(~any_of(ns, f.excludeNamespaces))
-    if f.includeTypes:
-        terms.append(any_of(ty, f.includeTypes))
-    if f.excludeTypes:
-        terms.append(~any_of(ty, f.excludeTypes))
-    terms.append(~(full.contains("<") | full.contains("GeneratedCode") | F.coalesce(F.col("file_path"), F.lit("")).contains(".g.")))
+    full = F.col("full_name")
+    any_of = lambda es: reduce(lambda a, b: a | b, [_matches(full, e) for e in es])
+    terms = [F.lit(True)]
+    terms += [any_of(es) for es in (f.includeNamespaces, f.includeTypes) if es]
+    terms += [~any_of(es) for es in (f.excludeNamespaces, f.excludeTypes) if es]
+    if f.includeAccessibility:
+        terms.append(F.col("accessibility").isNull() | F.lower("accessibility").isin(*[a.lower() for a in f.includeAccessibility]))
+    cc = F.coalesce("complexity", F.lit(0))
+    if f.minComplexity is not None:
+        terms.append(cc >= f.minComplexity)
+    if f.maxComplexity is not None:
+        terms.append(cc <= f.maxComplexity)
+    if f.excludeTests:
+        terms.append(~contains("full_name", "Test"))
+    if f.excludeGenerated:
+        terms.append(~(full.contains(".g.") | full.contains("<") | full.contains("GeneratedCode")))
     return reduce(lambda a, b: a & b, terms)
 
 
-def execute(t: GraphTables, q: GraphQuery, cache: PlanCache | None = None) -> DataFrame:
-    """id, full_name, depth, complexity, blast_radius, rank_score and rank of the best rows; errors are raised.
+@dataclass(frozen=True)
+class Result:
+    """Ranked rows of a query, the edges between the nodes that the filter left, and how many nodes were reached."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    reached: DataFrame
+
+    def total_matches(self) -> int:
+        """Nodes reached, before filter and limit."""
+        return self.reached.count()
+
+
+def run(t: GraphTables, q: GraphQuery, cache: PlanCache | None = None) -> Result:
+    """Execute a query; its errors are raised.
 
-    Filters come after the walk: what they drop still conducts, and seeds always stay. Ranking uses stored metrics:
-    blast radius, complexity, degree, or complexity times 1 + ln(1 + blast radius)."""
+    Filters come after the walk: what they drop still conducts, and seeds always stay. A node that several seeds reach
+    has the depth from the first of them (by id, then in the order of the seed's parts). Ranking uses stored metrics:
+    blast radius, complexity, degree, or complexity times 1 + ln(1 + blast radius); a single row has no score."""
     errors = validate(q)
     if errors:
         raise ValueError("; ".join(errors))
@@ -211,16 +239,37 @@ def execute(t: GraphTables, q: GraphQuery, cache: PlanCache | None = None) -> Da
         start = seeds(t, q.seed)
         if cache:
             cache.put(q.key(), start)
+    depth = max(1, q.expand.maxDepth) if q.expand.includeTransitive else 1
     if q.expand.direction == "none":
-        found = start.withColumn("depth", F.lit(0))
+        reached = start.select("id", F.lit(0).alias("depth"))
     else:
-        found = bfs(t.method_calls, start, q.expand.direction, max(1, q.expand.maxDepth))
-    rows = found.join(t.methods.select("id", "full_name", "file_path"), "id").where((F.col("depth") == 0) | filter_condition(q.filter))
-    m = t.metrics.select(F.col("method_id").alias("id"), F.col("cognitive_complexity").alias("complexity"), "blast_radius")
-    rows = rows.join(m, "id", "left").join(degrees(t), "id", "left")
+        reached = materialize(bfs_by_seed(t.method_calls, start, q.expand.direction, depth).select("id", "depth"), "reached")
+    m = t.metrics.select(F.col("method_id").alias("id"), F.col("cognitive_complexity").alias("complexity"), "blast_radius", F.col("lines_of_code").alias("loc"), F.col("nesting_depth").alias("nesting"))
+    known = reached.join(t.methods.select("id", "full_name", "file_path", F.col("start_line").alias("line"), "accessibility"), "id").join(m, "id", "left")
+    rows = known.where((F.col("depth") == 0) | filter_condition(q.filter))
+    if q.expand.direction == "none":
+        edges = t.method_calls.select(F.col("caller_id").alias("from_id"), F.col("callee_id").alias("to_id"), F.lit("").alias("direction")).limit(0)
+    else:
+        gone = known.join(rows.select("id"), "id", "left_anti").select("id")
+        edges = scanned_edges(t.method_calls, reached, q.expand.direction, depth)
+        edges = edges.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select("from_id", "to_id", "direction")
+    if q.rank.strategy == "coupling":
+        rows = rows.join(degrees(t), "id", "left")
     cc, br = F.coalesce("complexity", F.lit(0)), F.coalesce("blast_radius", F.lit(0))
-    deg = F.coalesce("afferent", F.lit(0)) + F.coalesce("efferent", F.lit(0))
+    deg = F.coalesce("afferent", F.lit(0)) + F.coalesce("efferent", F.lit(0)) if q.rank.strategy == "coupling" else F.lit(0)
     score = {"blastRadius": br.cast("double"), "complexity": cc.cast("double"), "coupling": deg.cast("double"), "combined": cc * (1 + F.log1p(br))}[q.rank.strategy]
-    rows = rows.select("id", "full_name", "depth", cc.alias("complexity"), br.alias("blast_radius"), F.round(score, 6).alias("rank_score"))
+    n = rows.agg(F.count("*").alias("n"))
+    rows = rows.crossJoin(F.broadcast(n))  # one row
+    shown = ["id", "full_name", "depth", cc.alias("complexity"), br.alias("blast_radius"), F.when(F.col("n") > 1, F.round(score, 6)).alias("rank_score")]
+    if q.output.includeMetrics:
+        shown += ["loc", "nesting"]
+    if q.output.includeLocation:
+        shown += ["file_path", "line"]
+    rows = rows.select(*shown)
     order = F.desc("rank_score") if q.rank.descending else F.asc("rank_score")
-    return rows.orderBy(order, "id").limit(q.output.maxResults)
+    return Result(rows.orderBy(order, "id").limit(q.output.maxResults), edges, reached)
+
+
+def execute(t: GraphTables, q: GraphQuery, cache: PlanCache | None = None) -> DataFrame:
+    """The ranked rows of run()."""
+    return run(t, q, cache).nodes

@@ -116,14 +116,16 @@ query(
     "rank_combined",
     f"{_BASE}, {_REACH}, n AS (SELECT id FROM m WHERE cc>=40), b AS (SELECT dst AS id, count(*) AS br FROM r GROUP BY 1), c AS (SELECT id, count(*) AS coup FROM (SELECT caller_id AS id FROM calls UNION ALL SELECT callee_id FROM calls) GROUP BY 1), x AS (SELECT n.id, coalesce(b.br,0) AS br, m.cc, coalesce(c.coup,0) AS coup FROM n JOIN m ON m.id=n.id LEFT JOIN b ON b.id=n.id LEFT JOIN c ON c.id=n.id) SELECT id, round(0.4::DOUBLE*br/greatest(1,max(br) OVER ())+0.35::DOUBLE*cc/greatest(1,max(cc) OVER ())+0.25::DOUBLE*coup/greatest(1,max(coup) OVER ()),6) AS score FROM x",
 )(lambda s, d: G.rank((t := graph(s, d)), t.metrics.where("cognitive_complexity >= 40").select(F.col("method_id").alias("id"))))
-_GQ = Q.GraphQuery(Q.Seed(methodPattern="*NATION_6*"), Q.Expand("callees", 2), Q.Filter(excludeNamespaces=("NATION_12",)), Q.Rank("combined"), Q.Output(50))
-query(
-    "graph_query_pattern",
-    f"{_BASE}, seed AS (SELECT id FROM m WHERE full_name ILIKE '%NATION_6%'), x AS ({_DOWN}), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT dst, depth+1 FROM w JOIN x ON src=id WHERE depth<2), n AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT m.id, full_name, CAST(depth AS INTEGER) AS depth, cc AS complexity, br AS blast_radius, round(cc*(1+ln(1+br)),6) AS rank_score FROM n JOIN m ON m.id=n.id WHERE depth=0 OR NOT (ns ILIKE '%NATION_12%' OR full_name ILIKE '%NATION_12%') ORDER BY rank_score DESC, m.id LIMIT 50",
-)(lambda s, d: Q.execute(graph(s, d), Q.GraphQuery.from_json(_GQ.to_json())))
+_GQ = Q.GraphQuery(Q.Seed(methodPattern="*NATION_6*"), Q.Expand("callees", 2), Q.Filter(excludeNamespaces=("NATION_12",), minComplexity=5, maxComplexity=45, includeAccessibility=("public",)), Q.Rank("combined"), Q.Output(50))
+_FIRST = "w(id, seq, depth) AS (SELECT id, seq, 0 FROM seed UNION SELECT dst, seq, depth+1 FROM w JOIN x ON src=id WHERE depth<{depth}), n AS (SELECT id, arg_min(depth, seq*1000+depth) AS depth FROM w GROUP BY id)"
+_ROWS = "m.id, full_name, CAST(depth AS INTEGER) AS depth, cc AS complexity, br AS blast_radius, {score} AS rank_score, loc, nesting, file_path, start_line AS line"
+_GQ_KEPT = f"seed AS (SELECT id, row_number() OVER (ORDER BY id) AS seq FROM m WHERE full_name ILIKE '%NATION_6%'), x AS ({_DOWN}), {_FIRST.format(depth=2)}, kept AS (SELECT {_ROWS.format(score='round(cc*(1+ln(1+br)),6)')} FROM n JOIN m ON m.id=n.id WHERE depth=0 OR NOT (full_name ILIKE '%NATION_12%') AND cc BETWEEN 5 AND 45 AND accessibility='Public')"
+query("graph_query_pattern", f"{_BASE}, {_GQ_KEPT} SELECT * FROM kept ORDER BY rank_score DESC, id LIMIT 50")(lambda s, d: Q.execute(graph(s, d), Q.GraphQuery.from_json(_GQ.to_json())))
+query("graph_query_edges", f"{_BASE}, {_GQ_KEPT} SELECT caller_id AS from_id, callee_id AS to_id, 'callees' AS direction FROM calls JOIN n ON n.id=caller_id AND depth<2 WHERE caller_id NOT IN (SELECT id FROM m WHERE id IN (SELECT id FROM n) AND id NOT IN (SELECT id FROM kept)) AND callee_id NOT IN (SELECT id FROM m WHERE id IN (SELECT id FROM n) AND id NOT IN (SELECT id FROM kept))")(lambda s, d: Q.run(graph(s, d), _GQ).edges)
+query("graph_query_total", f"{_BASE}, {_GQ_KEPT} SELECT count(*) AS total_matches FROM n")(lambda s, d: s.range(1).select(F.lit(Q.run(graph(s, d), _GQ).total_matches()).cast("long").alias("total_matches")))
 query(
     "graph_query_cluster",
-    f"{_BASE}, cl AS (SELECT label FROM embeddings WHERE 'label '||label ILIKE '%label%' GROUP BY label ORDER BY count(*) DESC, 'cluster-'||label LIMIT 1), seed AS (SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings JOIN cl USING (label)), x AS ({_UP}), w(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT dst, depth+1 FROM w JOIN x ON src=id WHERE depth<1), n AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT m.id, full_name, CAST(depth AS INTEGER) AS depth, cc AS complexity, br AS blast_radius, CAST(br AS DOUBLE) AS rank_score FROM n JOIN m ON m.id=n.id ORDER BY rank_score, m.id LIMIT 20",
+    f"{_BASE}, cl AS (SELECT label FROM embeddings WHERE 'label '||label ILIKE '%label%' GROUP BY label ORDER BY count(*) DESC, 'cluster-'||label LIMIT 1), seed AS (SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(vec_id AS VARCHAR)) AS seq FROM embeddings JOIN cl USING (label)), x AS ({_UP}), {_FIRST.format(depth=1)} SELECT {_ROWS.format(score='CAST(br AS DOUBLE)')} FROM n JOIN m ON m.id=n.id ORDER BY rank_score, m.id LIMIT 20",
 )(lambda s, d: Q.execute(graph(s, d), Q.GraphQuery(Q.Seed(cluster="label"), Q.Expand("callers", 1), rank=Q.Rank("blastRadius", False))))
 _V = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
 _COS = "list_cosine_similarity(a.e, b.e)"

@@ -732,7 +732,7 @@ def parse(files: DataFrame) -> DataFrame:
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """path and text of all *.cs files below a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cs").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"))
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def resolve(methods: DataFrame, types: DataFrame, calls: DataFrame) -> DataFrame:
