@@ -128,6 +128,12 @@ def visibility_tag(accessibility: Column) -> Column:
     return F.when(accessibility == "Public", "+").when(accessibility == "Private", "-").when(accessibility == "Protected", "#").otherwise("~")
 
 
+def csv_column(value: Column) -> Column:
+    """As csv_field(), for a column; null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
 def csv_field(value: str) -> str:
     """A value for a CSV line: quoted if it holds a comma, a quote or a line break."""
     return '"' + value.replace('"', '""') + '"' if any(c in value for c in ',"\n\r') else value

@@ -208,6 +208,20 @@ def export(t: GraphTables, path: str, form: str = "json", concept: str | None =
         w.format(form).save(f"{path}/{name}")
 
 
+def top_with_more(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows in an order, each with its rank, the number of all rows and how many are not shown. Both come
+    from one pass with partial results; no partition is gathered."""
+    total = rows.agg(F.count("*").alias("total"))
+    top = rows.orderBy(*order).limit(n)  # n rows at most from here on
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return ranked.crossJoin(total).withColumn("more", F.greatest(F.lit(0), F.col("total") - n).cast("long"))  # one row
+
+
+def top_per_group(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group, with their rank; Spark cuts each partition to the first ranks before shuffling."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
 def ordered_tree(rows: DataFrame) -> DataFrame:
     """tree()'s rows by project, namespace, type and method."""
     return rows.orderBy("project", "namespace", "type", "method", "method_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 from callatlas.functions import text as N
 from callatlas.operators import architecture as A
 from callatlas.operators import drift as D
+from callatlas.operators import embedding as E
 from callatlas.operators import graph as G
 from callatlas.operators import relational as R
 from callatlas.operators import similarity as S
 from callatlas.plans import graph_query as Q
 from callatlas.sources import tables as T
+from callatlas.sources.scratch import materialize, scratch_path
 from callatlas.sources.testdata import calls, graph, read
 from callatlas.streaming.churn import windowed_commits
 
@@ -70,7 +74,7 @@ for _by, _order in (("complexity", "cc DESC, br DESC, id"), ("blast", "br DESC,
     query(f"hotspots_{_by}", f"{_BASE} {_HOT.format(_order)}")(lambda s, d, by=_by: R.hotspots(graph(s, d), 20, by=by))
 query("hotspots_threshold", f"{_BASE} SELECT * FROM ({_HOT.format('cc DESC, br DESC, id').replace('FROM m', 'FROM m WHERE cc >= 30')})")(lambda s, d: R.hotspots(graph(s, d), 20, 30))
 query("method_search", f"{_BASE} SELECT id, name, full_name, file_path, start_line FROM m WHERE full_name ILIKE '%nation_6%blue_%'")(lambda s, d: R.search_methods(graph(s, d), "nation_6%blue_"))
-query("method_info", f"{_BASE}, {_TOP_CALLEE} SELECT m.id, full_name, cc AS cognitive_complexity FROM m JOIN seed ON m.id=seed.id")(lambda s, d: R.method_info(graph(s, d), _top(s, d, "callee_id")).select("id", "full_name", "cognitive_complexity"))
+query("method_info", f"{_BASE}, {_TOP_CALLEE} SELECT m.id, name, full_name, 'void' AS return_type, type_id, start_line, CAST(start_line+loc AS INTEGER) AS end_line, file_path, p_partkey%3=0 AS is_static, p_partkey%5=0 AS is_async, p_partkey%7=0 AS is_virtual, is_override, is_abstract, accessibility, cc AS cognitive_complexity, loc AS lines_of_code, nesting AS nesting_depth, br AS blast_radius, CAST(p_partkey%9 AS INTEGER) AS blast_depth FROM m JOIN seed ON m.id=seed.id")(lambda s, d: R.method_info(graph(s, d), _top(s, d, "callee_id")))
 _TREE = "SELECT project, ns AS namespace, tname AS type, kind, name AS method, 'void' AS return_type, accessibility, id AS method_id FROM m WHERE accessibility='Public'"
 query("tree", f"{_BASE} {_TREE}")(lambda s, d: R.tree(graph(s, d)))
 query("tree_filtered", f"{_BASE} {_TREE} AND ns ILIKE 'A%' AND kind <> 'Interface' AND ns NOT ILIKE '%NATION_6%' AND ns NOT ILIKE '%NATION_12%'")(lambda s, d: R.tree(graph(s, d), namespace="A", skip_interfaces=True, skip_tests=True, exclude=("NATION_6", "NATION_12")))
@@ -81,7 +85,7 @@ query(
 _DEAD = "SELECT id, full_name, file_path, start_line, cc AS cognitive_complexity FROM m WHERE NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=m.id)"
 query("dead_code", f"{_BASE} {_DEAD} AND NOT is_override AND NOT is_abstract")(lambda s, d: R.dead_code(graph(s, d)))
 query("dead_code_overrides", f"{_BASE} {_DEAD}")(lambda s, d: R.dead_code(graph(s, d), True))
-_GROUPS = "g AS (SELECT id, {key} AS grp, kind, type_id FROM m), e AS (SELECT a.grp AS f, b.grp AS t FROM calls JOIN g a ON a.id=caller_id JOIN g b ON b.id=callee_id WHERE a.grp<>b.grp), c AS (SELECT grp, (SELECT count(*) FROM e WHERE t=grp) AS ca, (SELECT count(*) FROM e WHERE f=grp) AS ce, count(DISTINCT CASE WHEN kind='Interface' THEN type_id END)*1.0/count(DISTINCT type_id) AS a FROM g GROUP BY grp), i AS (SELECT *, CASE WHEN ca+ce>0 THEN ce*1.0/(ca+ce) ELSE 0 END AS i FROM c) SELECT grp, CAST(ca AS BIGINT) AS ca, CAST(ce AS BIGINT) AS ce, CAST(round(i,4) AS DOUBLE) AS instability, CAST(round(a,4) AS DOUBLE) AS abstractness, CAST(round(abs(a+i-1),4) AS DOUBLE) AS distance FROM i"
+_GROUPS = "g AS (SELECT id, {key} AS grp, kind, type_id FROM m), e AS (SELECT a.grp AS f, b.grp AS t FROM calls JOIN g a ON a.id=caller_id JOIN g b ON b.id=callee_id WHERE a.grp<>b.grp), c AS (SELECT grp, (SELECT count(*) FROM e WHERE t=grp) AS ca, (SELECT count(*) FROM e WHERE f=grp) AS ce, count(DISTINCT CASE WHEN kind='Interface' THEN type_id END)*1.0/count(DISTINCT type_id) AS a FROM g GROUP BY grp), i AS (SELECT *, CASE WHEN ca+ce>0 THEN ce*1.0/(ca+ce) ELSE 0 END AS i FROM c) SELECT grp, CAST(ca AS BIGINT) AS ca, CAST(ce AS BIGINT) AS ce, round_even(i::DOUBLE,4) AS instability, round_even(a::DOUBLE,4) AS abstractness, round_even(abs(a+i-1)::DOUBLE,4) AS distance FROM i"
 query("coupling_namespace", f"{_BASE}, {_GROUPS.format(key='ns')}")(lambda s, d: R.coupling(graph(s, d)))
 query("coupling_type", f"{_BASE}, {_GROUPS.format(key="ns||'.'||tname")}")(lambda s, d: R.coupling(graph(s, d), "type"))
 query("export_methods", f"{_BASE} SELECT id, full_name, file_path, start_line, cc AS cognitive_complexity, loc AS lines_of_code, nesting AS nesting_depth, 'label '||label AS cluster_label FROM m LEFT JOIN embeddings ON id=CAST(vec_id AS VARCHAR)")(lambda s, d: R.export_methods(graph(s, d)))
@@ -158,7 +162,7 @@ def _cyclic_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).cache()
+    pairs = materialize(_pairs(spark, sf_dir), "pairs")
     first = pairs.orderBy(F.desc("semantic_similarity"), "method_id_a").first()
     return R.duplicates_of(graph(spark, sf_dir).with_tables(clone_pairs=pairs), first[0] if first else "").select("other_id", "other_name")
 
@@ -177,24 +181,33 @@ def _signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSES = r"""bag AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(text, '[ (){};,\n\r\t]+'), lambda t: t <> '') AS b FROM documents),
 cls AS (SELECT list_sort(list_distinct(b)) AS t, len(b) AS n_bag, min(id) AS rep, count(*) AS n_members FROM bag WHERE len(b)>0 GROUP BY 1,2)"""
 query("structural_classes", f"WITH {_CLASSES} SELECT rep, CAST(n_bag AS INTEGER) AS n_bag, CAST(len(t) AS INTEGER) AS n_tokens, n_members FROM cls")(lambda s, d: S.structural_classes(_signatures(s, d)).select("rep", "n_bag", F.size("tokens").alias("n_tokens"), "n_members"))
-query("structural_members")(lambda s, d: S.structural_members(_signatures(s, d)))
+query("structural_members", f"WITH {_CLASSES} SELECT bag.id, cls.rep FROM bag JOIN cls ON list_sort(list_distinct(b))=t AND len(b)=n_bag")(lambda s, d: S.structural_members(_signatures(s, d)))
 query(
     "structural_clones",
     f"WITH {_CLASSES}, w AS (SELECT rep, n_bag, len(t) AS n, unnest(t) AS tok FROM cls), p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c, min(x.n) AS na, min(y.n) AS nb, min(x.n_bag) AS ba, min(y.n_bag) AS bb FROM w x JOIN w y ON x.tok=y.tok AND x.rep<y.rep AND least(x.n,y.n)>=0.8*greatest(x.n,y.n) AND least(x.n_bag,y.n_bag)>=0.8*greatest(x.n_bag,y.n_bag) GROUP BY 1,2) SELECT a, b, round(c*1.0::DOUBLE/(na+nb-c),6) AS similarity, CASE WHEN c*1.0::DOUBLE/(na+nb-c)>0.95 THEN 'Type1' ELSE 'Type2' END AS clone_type FROM p WHERE c*1.0::DOUBLE/(na+nb-c)>=0.8",
 )(lambda s, d: S.structural_clones(_signatures(s, d)))
+_STRUCT = f"{_CLASSES}, w AS (SELECT rep, n_bag, len(t) AS n, unnest(t) AS tok FROM cls), p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c, min(x.n) AS na, min(y.n) AS nb FROM w x JOIN w y ON x.tok=y.tok AND x.rep<y.rep AND least(x.n,y.n)>=0.8*greatest(x.n,y.n) AND least(x.n_bag,y.n_bag)>=0.8*greatest(x.n_bag,y.n_bag) GROUP BY 1,2), st AS (SELECT a, b, round(c*1.0::DOUBLE/(na+nb-c),6) AS s FROM p WHERE c*1.0::DOUBLE/(na+nb-c)>=0.8)"
 query(
     "hybrid_scores",
-    f"WITH {_SEM}, st AS (SELECT least(a,b) AS a, greatest(a,b) AS b, 0.9::DOUBLE AS s FROM (SELECT id AS a, CAST(CAST(id AS BIGINT)+1 AS VARCHAR) AS b FROM v)), h AS (SELECT coalesce(st.a,sem.a) AS a, coalesce(st.b,sem.b) AS b, coalesce(st.s,0) AS s, coalesce(sem.s,0) AS m FROM st FULL JOIN sem ON st.a=sem.a AND st.b=sem.b) SELECT a AS method_id_a, b AS method_id_b, s AS structural_similarity, round(m,4) AS semantic_similarity, round(0.4*s+0.6*m,4) AS hybrid_score, CASE WHEN s>0.95 THEN 'Type1' WHEN s>0.8 THEN 'Type2' ELSE 'Semantic' END AS clone_type FROM h WHERE round(0.4*s+0.6*m,6)>=0.25",
+    f"WITH {_SEM}, {_STRUCT}, h AS (SELECT coalesce(st.a,sem.a) AS a, coalesce(st.b,sem.b) AS b, coalesce(st.s,0) AS s, coalesce(sem.s,0) AS m FROM st FULL JOIN sem ON st.a=sem.a AND st.b=sem.b) SELECT a AS method_id_a, b AS method_id_b, s AS structural_similarity, round(m,4) AS semantic_similarity, round(0.4*s+0.6*m,4) AS hybrid_score, CASE WHEN s>0.95 THEN 'Type1' WHEN s>0.8 THEN 'Type2' ELSE 'Semantic' END AS clone_type FROM h WHERE round(0.4*s+0.6*m,6)>=0.25",
 )(lambda s, d: _hybrid(s, d))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    st = v.select(F.col("method_id").alias("a"), (F.col("method_id").cast("long") + 1).cast("string").alias("b"), F.lit(0.9).alias("similarity"))
-    sem = S.semantic_clones(v, 0.4).select(F.col("method_id_a").alias("a"), F.col("method_id_b").alias("b"), F.col("semantic_similarity").alias("similarity"))
+    """Structural pairs of the documents and semantic ones of the embeddings, by their numbers."""
+    st = S.structural_clones(_signatures(spark, sf_dir)).select("a", "b", "similarity")
+    sem = S.semantic_clones(_vectors(spark, sf_dir), 0.4).select(F.col("method_id_a").alias("a"), F.col("method_id_b").alias("b"), F.col("semantic_similarity").alias("similarity"))
     return S.hybrid(st, sem, least=0.25).withColumn("semantic_similarity", F.round("semantic_similarity", 4)).withColumn("hybrid_score", F.round("hybrid_score", 4))
 
 
+query("clone_member_pairs", f"WITH {_SEM}, {_STRUCT}, mem AS (SELECT bag.id, cls.rep FROM bag JOIN cls ON list_sort(list_distinct(b))=t AND len(b)=n_bag) SELECT sem.a, sem.b, CASE WHEN x.rep=y.rep THEN 1.0::DOUBLE ELSE st.s END AS similarity FROM sem JOIN mem x ON x.id=sem.a JOIN mem y ON y.id=sem.b LEFT JOIN st ON st.a=least(x.rep,y.rep) AND st.b=greatest(x.rep,y.rep) WHERE x.rep=y.rep OR st.s IS NOT NULL")(lambda s, d: _member_pairs(s, d))
+
+
+def _member_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sem = S.semantic_clones(_vectors(spark, sf_dir), 0.4).select(F.col("method_id_a").alias("a"), F.col("method_id_b").alias("b"))
+    return S.pairs_among(sem, S.structural_clones(_signatures(spark, sf_dir)), S.structural_members(_signatures(spark, sf_dir)))
+
+
 query(
     "dbscan_clusters",
     f"WITH RECURSIVE {_V}, p AS (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE a.id<>b.id AND 1-list_cosine_similarity(a.e,b.e)<=0.6), core AS (SELECT a AS id FROM p GROUP BY a HAVING count(*)>=2), cc AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), w(id, root) AS (SELECT id, id FROM core UNION SELECT cc.b, w.root FROM w JOIN cc ON cc.a=w.id), co AS (SELECT id, min(root) AS cluster FROM w GROUP BY id) SELECT id AS method_id, cluster FROM co UNION ALL SELECT p.a, min(co.cluster) FROM p JOIN co ON p.b=co.id WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a",
@@ -204,12 +217,12 @@ query("lsh_pairs")(lambda s, d: S.lsh_pairs(_vectors(s, d), 0.6))
 query("cluster_cohesion", f"WITH {_V} SELECT 'cluster-'||a.label AS cluster, round(avg(list_cosine_similarity(a.e,b.e)),4) AS cohesion FROM v a JOIN v b ON a.label=b.label AND a.id<>b.id GROUP BY a.label")(lambda s, d: S.cohesion(_vectors(s, d), graph(s, d).method_cluster_map.withColumnRenamed("cluster_id", "cluster")).withColumn("cohesion", F.round("cohesion", 4)))
 query("cluster_numbers", "SELECT 'cluster-'||label AS cluster, count(*) AS member_count, 'cluster-'||(row_number() OVER (ORDER BY count(*) DESC, 'cluster-'||label)-1) AS cluster_id FROM embeddings GROUP BY label")(lambda s, d: S.number_clusters(graph(s, d).method_cluster_map.withColumnRenamed("cluster_id", "cluster")))
 query("cluster_labels", f"{_BASE} SELECT p_brand AS cluster, arg_min(tname, (-n, lower(tname)))||' operations' AS label FROM (SELECT p_brand, tname, count(*) AS n FROM m GROUP BY 1,2) GROUP BY 1")(lambda s, d: S.cluster_labels(graph(s, d).methods.join(read(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("cluster")), "id").select("cluster", F.regexp_replace("full_name", r"\.[^.(]*\(", ".x(").alias("method_id"))))
-query(
-    "hash_embedding",
-    r"""WITH w AS (SELECT item_id AS id, list_filter(string_split(text, ' '), lambda s: s <> '') AS w FROM benchmark), t AS (SELECT id, unnest(w) AS t, 1.0::DOUBLE AS x FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i]||'_'||w[i+1])), 0.5 FROM w), h AS (SELECT id, x, sha256('0:'||t) AS h, sha256('1:'||t) AS g FROM t), c AS (SELECT id, CAST(CAST('0x'||h[7:8]||h[5:6]||h[3:4]||h[1:2] AS BIGINT)%384 AS INTEGER) AS idx, sum(CASE WHEN CAST('0x'||g[2:2] AS INTEGER)%2=1 THEN x ELSE -x END) AS x FROM h GROUP BY 1,2), n AS (SELECT id, sqrt(sum(x*x)) AS norm FROM c GROUP BY id) SELECT id, idx, round(x/norm,6) AS val FROM c JOIN n USING (id) WHERE x<>0""",
-)(lambda s, d: S.hash_embedding(read(s, d, "benchmark"), "item_id", "text").select("id", "idx", F.round("val", 6).alias("val")))
-query("token_search")(lambda s, d: S.search_tokens(s, S.hash_embedding(read(s, d, "benchmark"), "item_id", "text"), "the and of", 10, 0.05))
-query("layers", f"{_BASE} SELECT DISTINCT ns||'.'||tname AS type_id, CASE split_part(ns,'.',1) WHEN 'AMERICA' THEN 'Presentation' WHEN 'ASIA' THEN 'Application' WHEN 'EUROPE' THEN 'Domain' WHEN 'AFRICA' THEN 'Infrastructure' ELSE 'Shared' END AS layer, 1.0::DOUBLE AS confidence FROM m")(lambda s, d: A.detect_layers(graph(s, d), LAYER_OF).select("type_id", "layer", "confidence"))
+_CELLS = r"""w AS (SELECT id, list_filter(string_split(text, ' '), lambda s: s <> '') AS w FROM src), t AS (SELECT id, unnest(w) AS t, 1.0::DOUBLE AS x FROM w UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i]||'_'||w[i+1])), 0.5 FROM w), h AS (SELECT id, x, sha256('0:'||t) AS h, sha256('1:'||t) AS g FROM t), c AS (SELECT id, CAST(CAST('0x'||h[7:8]||h[5:6]||h[3:4]||h[1:2] AS BIGINT)%384 AS INTEGER) AS idx, sum(CASE WHEN CAST('0x'||g[2:2] AS INTEGER)%2=1 THEN x ELSE -x END) AS x FROM h GROUP BY 1,2), n AS (SELECT id, sqrt(sum(x*x)) AS norm FROM c GROUP BY id), cell AS (SELECT id, idx, x/norm AS val FROM c JOIN n USING (id) WHERE x<>0)"""
+query("hash_embedding", f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {_CELLS} SELECT id, idx, round(val,6) AS val FROM cell")(lambda s, d: S.hash_embedding(read(s, d, "benchmark"), "item_id", "text").select("id", "idx", F.round("val", 6).alias("val")))
+_ASKED = f"WITH src AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT -1, 'the and of'), {_CELLS}, sc AS (SELECT a.id, round(sum(a.val*q.val),6) AS score FROM cell a JOIN cell q ON a.idx=q.idx AND q.id=-1 WHERE a.id<>-1 GROUP BY 1)"
+query("token_search", f"{_ASKED} SELECT * FROM (SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 10) WHERE score>=0.05")(lambda s, d: S.search_tokens(s, S.hash_embedding(read(s, d, "benchmark"), "item_id", "text"), "the and of", 10, 0.05))
+query("semantic_search", f"{_ASKED} SELECT CAST(src.id AS VARCHAR) AS method_id, round(coalesce(score,0),4) AS score FROM src LEFT JOIN sc USING (id) WHERE src.id<>-1 AND EXISTS (SELECT 1 FROM cell WHERE cell.id=src.id) ORDER BY coalesce(score,0) DESC, method_id LIMIT 5")(lambda s, d: E.semantic_search(s, E.HashEngine().embed(read(s, d, "benchmark").select(F.col("item_id").cast("string").alias("method_id"), "text")), "the and of", k=5).withColumn("score", F.round("score", 4)))
+query("layers", f"{_BASE} SELECT DISTINCT ns||'.'||tname AS type_id, CASE split_part(ns,'.',1) WHEN 'AMERICA' THEN 'Presentation' WHEN 'ASIA' THEN 'Application' WHEN 'EUROPE' THEN 'Domain' WHEN 'AFRICA' THEN 'Infrastructure' ELSE 'Shared' END AS layer, 1.0::DOUBLE AS confidence, 'Namespace pattern: '||split_part(ns,'.',1)||'.*' AS reason FROM m")(lambda s, d: A.detect_layers(graph(s, d), LAYER_OF))
 _LY = "ly AS (SELECT DISTINCT ns||'.'||tname AS ty, CASE split_part(ns,'.',1) WHEN 'AMERICA' THEN 'Presentation' WHEN 'ASIA' THEN 'Application' WHEN 'EUROPE' THEN 'Domain' WHEN 'AFRICA' THEN 'Infrastructure' ELSE 'Shared' END AS layer FROM m), dep AS (SELECT DISTINCT a.ns||'.'||a.tname AS f, b.ns||'.'||b.tname AS t FROM calls JOIN m a ON a.id=caller_id JOIN m b ON b.id=callee_id WHERE a.ns||'.'||a.tname<>b.ns||'.'||b.tname), bad AS (SELECT f, count(*) AS n FROM dep JOIN ly x ON x.ty=f JOIN ly y ON y.ty=t WHERE x.layer<>y.layer AND NOT ((x.layer='Presentation' AND y.layer IN ('Application','Domain','Shared')) OR (x.layer='Application' AND y.layer IN ('Domain','Shared')) OR (x.layer='Domain' AND y.layer='Shared') OR (x.layer='Infrastructure' AND y.layer IN ('Domain','Shared'))) GROUP BY f)"
 query("layers_refined", f"{_BASE}, {_LY} SELECT ty AS type_id, layer, CAST(round(CASE WHEN coalesce(n,0)>0 THEN greatest(0.1, 1-0.1*n) ELSE 1 END,6) AS DOUBLE) AS confidence FROM ly LEFT JOIN bad ON f=ty")(lambda s, d: A.refine_layers((t := graph(s, d)), A.detect_layers(t, LAYER_OF)).select("type_id", "layer", "confidence"))
 query("type_dependencies", f"{_BASE}, {_LY} SELECT f AS from_type, t AS to_type FROM dep")(lambda s, d: A.type_dependencies(graph(s, d)))
@@ -230,11 +243,20 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[T.GraphTables, T.Graph
     return out[0], out[1]
 
 
+def _label_snapshots(spark: SparkSession, sf_dir: str) -> tuple[T.GraphTables, T.GraphTables]:
+    """As _snapshots(), with only those members of a label that the snapshot has as methods."""
+    return tuple(t.with_tables(method_cluster_map=t.method_cluster_map.join(t.methods.select(F.col("id").alias("method_id")), "method_id", "left_semi")) for t in _snapshots(spark, sf_dir))
+
+
 _SNAP = f"WITH {_PLACES}, {_methods()}, {_OLD}"
-query("drift_new", f"{_SNAP} SELECT id, full_name FROM m WHERE id NOT IN (SELECT id FROM b)")(lambda s, d: D.new_methods(*_snapshots(s, d)))
-query("drift_removed", f"{_SNAP} SELECT id, full_name FROM m WHERE id NOT IN (SELECT id FROM b)")(lambda s, d: D.removed_methods(*reversed(_snapshots(s, d))))
+_LATE = f"late AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '{CUTOFF}')), {_methods('c', 'late')}"
+query("drift_new", f"{_SNAP}, {_LATE} SELECT id, full_name FROM c WHERE id NOT IN (SELECT id FROM b)")(lambda s, d: D.new_methods(graph(s, d, since=CUTOFF), graph(s, d, CUTOFF)))
+query("drift_removed", f"{_SNAP}, {_LATE} SELECT id, full_name FROM b WHERE id NOT IN (SELECT id FROM c)")(lambda s, d: D.removed_methods(graph(s, d, since=CUTOFF), graph(s, d, CUTOFF)))
+query("drift_verdict", f"{_SNAP}, {_LATE} SELECT CASE WHEN EXISTS (SELECT 1 FROM c FULL JOIN b USING (id) WHERE c.full_name IS NULL OR b.full_name IS NULL) THEN 1 ELSE 0 END AS code, 0 AS same")(lambda s, d: s.range(1).select(F.lit(D.verdict(graph(s, d, since=CUTOFF), graph(s, d, CUTOFF))).alias("code"), F.lit(D.verdict(graph(s, d), graph(s, d))).alias("same")))
+query("drift_new_members", f"{_SNAP} SELECT p_brand AS label, id FROM m WHERE id NOT IN (SELECT id FROM b) AND p_brand IN (SELECT p_brand FROM b)")(lambda s, d: D.new_members(*_label_snapshots(s, d)))
+query("method_details", f"{_BASE} SELECT id, full_name, ns||'.'||tname AS type, ns AS namespace FROM m")(lambda s, d: D.method_details(graph(s, d)))
 query("drift_regression", f"{_SNAP} SELECT id, b.loc AS base_cc, m.loc AS current_cc, round((m.loc-b.loc)*1.0::DOUBLE/b.loc,4) AS share FROM m JOIN b USING (id) WHERE m.loc>b.loc AND ((m.loc-b.loc)*1.0::DOUBLE/b.loc>=0.25 OR (b.loc<=15 AND m.loc>15))")(lambda s, d: D.regressions(*_snapshots(s, d)))
-query("drift_scattering", f"{_SNAP} SELECT label, count(*) AS new_namespaces FROM (SELECT DISTINCT p_brand AS label, ns FROM m EXCEPT SELECT DISTINCT p_brand, ns FROM b) WHERE label IN (SELECT p_brand FROM b) GROUP BY label")(lambda s, d: D.scattering(*_snapshots(s, d)))
+query("drift_scattering", f"{_SNAP} SELECT label, count(*) AS new_namespaces, string_agg(ns, ',' ORDER BY ns) AS namespaces, (SELECT count(*) FROM m WHERE p_brand=label AND id NOT IN (SELECT id FROM b)) AS new_members FROM (SELECT DISTINCT p_brand AS label, ns FROM m EXCEPT SELECT DISTINCT p_brand, ns FROM b) WHERE label IN (SELECT p_brand FROM b) GROUP BY label")(lambda s, d: D.scattering(*_label_snapshots(s, d)).withColumn("namespaces", F.array_join("namespaces", ",")))
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,4 +284,116 @@ query("tokenize", f"{_BASE} SELECT id, array_to_string(regexp_extract_all(name,
 query("lines_of_code", r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(trim(l), '//'))) AS INTEGER) AS loc FROM documents WHERE NOT contains(text, '/*')")(lambda s, d: read(s, d, "documents").select("doc_id", N.lines_of_code(F.col("text")).alias("loc")))
 query("group_keys", f"{_BASE} SELECT id, ns AS namespace_key, ns||'.'||tname AS type_key, tname||'.'||name AS tail, name AS short FROM m")(lambda s, d: graph(s, d).methods.select("id", N.group_key(F.col("full_name")).alias("namespace_key"), N.group_key(F.col("full_name"), "type").alias("type_key"), N.tail_name(F.col("full_name")).alias("tail"), N.short_name(F.col("full_name")).alias("short")))
 query("first_wins", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda s, d: T.first_wins(read(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"]))
-query("resolve_method", f"{_BASE} SELECT id, full_name, CAST(3 AS INTEGER) AS kind, (SELECT count(*) FROM m WHERE full_name ILIKE '%NATION_6%')=1 AS unique FROM m WHERE full_name ILIKE '%NATION_6%'")(lambda s, d: R.resolve_method(graph(s, d), "nation_6"))
+_NAMED = "SELECT x.asked, m.id, full_name, CAST({kind} AS INTEGER) AS kind, count(*) OVER (PARTITION BY x.asked)=1 AS unique FROM m JOIN ({names}) x ON {on}"
+query(
+    "resolve_method",
+    f"{_BASE}, one AS (SELECT id, full_name, tname||'.'||name AS tail FROM m ORDER BY id LIMIT 1) "
+    + " UNION ALL ".join(_NAMED.format(kind=k, names=f"SELECT {c} AS asked FROM one" if c != "nation" else "SELECT 'nation_6' AS asked", on=o) for k, c, o in ((0, "id", "m.id=x.asked"), (1, "full_name", "m.full_name=x.asked"), (2, "tail", "tname||'.'||name=x.asked"), (3, "nation", "full_name ILIKE '%NATION_6%'"))),
+)(lambda s, d: _resolved(s, d))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A method by id, by full name and by type and name, and all of a place."""
+    t = graph(spark, sf_dir)
+    first = t.methods.select("id", "full_name", N.tail_name(F.col("full_name")).alias("tail")).orderBy("id").first()
+    return reduce(DataFrame.union, [R.resolve_method(t, n).select(F.lit(n).alias("asked"), "id", "full_name", "kind", "unique") for n in (*first, "nation_6")])
+
+
+# orders, limits and what they leave out
+query("tree_ordered", f"{_BASE}, r AS ({_TREE}) SELECT project, namespace, type, method, method_id, rank, (SELECT count(*) FROM r) AS total, greatest(0, (SELECT count(*) FROM r)-25) AS more FROM (SELECT *, CAST(row_number() OVER (ORDER BY project, namespace, type, method, method_id) AS INTEGER) AS rank FROM r) WHERE rank<=25")(lambda s, d: R.top_with_more(R.tree(graph(s, d)).select("project", "namespace", "type", "method", "method_id"), ["project", "namespace", "type", "method", "method_id"], 25))
+
+
+def _top_sql(rows: str, order: str, n: int, with_: str = "") -> str:
+    return f"{_BASE}{with_}, r AS ({rows}) SELECT *, (SELECT count(*) FROM r) AS total, greatest(0, (SELECT count(*) FROM r)-{n}) AS more FROM (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM r) WHERE rank<={n}"
+
+
+query("dead_code_top", _top_sql(f"{_DEAD}", "cognitive_complexity DESC, id", 10))(lambda s, d: R.top_with_more(R.dead_code(graph(s, d), True), [F.desc("cognitive_complexity"), "id"], 10))
+query("impact_top", _top_sql("SELECT x.id, m.full_name, CAST(x.depth AS INTEGER) AS depth, NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=x.id) AS is_entry FROM x JOIN m ON m.id=x.id", "depth, id", 20, f", {_ABOVE}"))(lambda s, d: R.top_with_more(G.impact(graph(s, d), _top(s, d, "callee_id")), ["depth", "id"], 20))
+query("entry_callers", f"{_BASE}, {_ABOVE} SELECT x.id, m.full_name, CAST(x.depth AS INTEGER) AS depth FROM x JOIN m ON m.id=x.id WHERE depth>0 AND NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=x.id)")(lambda s, d: G.entry_callers(graph(s, d), _top(s, d, "callee_id")))
+query("impact_unknown", "SELECT '' AS id, '' AS full_name, 0 AS depth, true AS is_entry WHERE false")(lambda s, d: G.impact(graph(s, d), "no such method"))
+query("coupling_top", _top_sql("SELECT grp, ca, ce FROM (" + _GROUPS.format(key="ns||'.'||tname").split(" SELECT grp, CAST(ca")[-1].join(["SELECT grp, CAST(ca", ""]) + ")", "ce DESC, grp", 5, ", " + _GROUPS.format(key="ns||'.'||tname").split(" SELECT grp, CAST(ca")[0]))(lambda s, d: R.top_with_more(R.coupling(graph(s, d), "type").select("grp", "ca", "ce"), [F.desc("ce"), "grp"], 5))
+query("clone_pairs_top", f"WITH {_SEM}, r AS (SELECT a AS method_id_a, b AS method_id_b, round(s*0.5+0.5,4) AS score FROM sem), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, method_id_a, method_id_b) AS rk FROM r) SELECT method_id_a, method_id_b, score, CAST(rk AS INTEGER) AS rank, (SELECT count(*) FROM r) AS total, greatest(0, (SELECT count(*) FROM r)-10) AS more FROM ranked WHERE rk<=10")(lambda s, d: R.top_with_more(R.clone_pairs(graph(s, d).with_tables(clone_pairs=_pairs(s, d)), 0.1, "Semantic").select("method_id_a", "method_id_b", F.round(F.col("hybrid_score").cast("double"), 4).alias("score")), [F.desc("score"), "method_id_a", "method_id_b"], 10))
+query("clusters_ordered", "WITH r AS (SELECT 'cluster-'||label AS id, 'label '||label AS label, CAST(count(*) AS INTEGER) AS member_count FROM embeddings WHERE label IS NOT NULL GROUP BY label) SELECT *, CAST(row_number() OVER (ORDER BY member_count DESC, id) AS INTEGER) AS rank, (SELECT count(*) FROM r) AS total, greatest(0, (SELECT count(*) FROM r)-100) AS more FROM r")(lambda s, d: R.top_with_more(graph(s, d).intent_clusters.select("id", "label", "member_count"), [F.desc("member_count"), "id"], 100))
+query("dep_violations_top", f"{_VIO} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rule ORDER BY caller_id, callee_id) AS INTEGER) AS rank FROM hit) WHERE rank<=10")(lambda s, d: R.top_per_group(A.violations(graph(s, d), RULES).select("caller_id", "callee_id", "rule", "severity"), ["rule"], ["caller_id", "callee_id"], 10))
+query("dep_check_summary", f"{_VIO} SELECT count(*) AS violations, count(*) FILTER (WHERE severity='Error') AS errors, count(*) FILTER (WHERE severity='Warning') AS warnings, (SELECT count(*) FROM calls WHERE caller_id IN (SELECT id FROM m)) AS calls_checked, 15 AS rules_applied FROM hit")(lambda s, d: A.check_summary(graph(s, d), T.parse_rules(json.dumps({"rules": RULES}), A.DEFAULT_RULES)))
+query("zones_parsed", f"{_BASE} SELECT id, CASE WHEN ns='AMERICA.NATION_6' THEN 'DoNotModify' WHEN ns LIKE 'AMERICA.%' THEN 'RequireApproval' ELSE 'Deprecated' END AS level FROM m WHERE ns LIKE 'AMERICA.%' OR ns LIKE 'ASIA.%'")(lambda s, d: A.protected(graph(s, d).methods, T.parse_zones(json.dumps({"zones": ZONES}))).select("id", "level"))
+query("layers_filtered", f"{_BASE} SELECT DISTINCT ns||'.'||tname AS type_id, 'Domain' AS layer, 1.0::DOUBLE AS confidence, 'Namespace pattern: EUROPE.*' AS reason, CAST(2 AS INTEGER) AS layer_rank FROM m WHERE ns LIKE 'EUROPE.%'")(lambda s, d: A.filter_layers(A.detect_layers(graph(s, d), LAYER_OF), "domain", 0.9))
+query("churn_top", _top_sql("SELECT id, file_path, commits, CAST(commits*cc AS BIGINT) AS churn_score FROM m JOIN n USING (file_path) WHERE cc>0", "churn_score DESC, id", 20, f", {_COMMITS}, n AS (SELECT file_path, count(*) AS commits FROM c WHERE ts>=TIMESTAMP '2024-01-10' GROUP BY 1)"))(lambda s, d: R.top_with_more(R.churn(graph(s, d), _commits(s, d), "2024-01-10").select("id", "file_path", "commits", "churn_score"), [F.desc("churn_score"), "id"], 20))
+_CHANGED = "lower(file_path) IN (SELECT lower('/src/'||replace(s_name,' ','_')||'.cs') FROM supplier WHERE s_acctbal>5000)"
+query("diff_complex", f"{_BASE} SELECT id, full_name, file_path, cc AS cognitive_complexity FROM m WHERE {_CHANGED} AND cc>10 ORDER BY cc DESC, id LIMIT 10")(lambda s, d: R.diff_complex(R.diff(graph(s, d), _changed(s, d))))
+query("diff_by_name", f"{_BASE} SELECT id, full_name, file_path, cc AS cognitive_complexity FROM m WHERE {_CHANGED}")(lambda s, d: R.diff(graph(s, d), _changed(s, d, "/elsewhere/")))
+
+
+def _changed(spark: SparkSession, sf_dir: str, folder: str = "/src/") -> DataFrame:
+    return read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit(folder), F.replace("s_name", F.lit(" "), F.lit("_")), F.lit(".cs")).alias("path"))
+
+
+# names that decide: entry points, tests, tests of a method
+_RENAMED = "CASE p_partkey%10 WHEN 0 THEN 'Main' WHEN 1 THEN 'Dispose' WHEN 2 THEN 'AddTest' WHEN 3 THEN '.ctor' ELSE name END"
+
+
+def _renamed(spark: SparkSession, sf_dir: str) -> T.GraphTables:
+    """The graph with every tenth method called Main, every tenth Dispose, and so on, and tests among suppliers."""
+    t = graph(spark, sf_dir)
+    k = F.col("id").cast("long") % 10
+    name = F.when(k == 0, "Main").when(k == 1, "Dispose").when(k == 2, "AddTest").when(k == 3, ".ctor").otherwise(F.col("name"))
+    full = F.when(k == 2, F.concat("full_name", F.lit("Test"))).otherwise(F.col("full_name"))
+    types = t.types.withColumn("name", F.when(F.col("id").cast("long") % 3 == 0, F.concat("name", F.lit("Tests"))).otherwise(F.col("name")))
+    return t.with_tables(methods=t.methods.withColumn("name", name).withColumn("full_name", full), types=types)
+
+
+query("dead_code_names", f"{_BASE} SELECT id, full_name, file_path, start_line, cc AS cognitive_complexity FROM m WHERE p_partkey%10>3 AND CAST(type_id AS BIGINT)%3<>0 AND NOT EXISTS (SELECT 1 FROM calls WHERE callee_id=m.id)")(lambda s, d: R.dead_code(_renamed(s, d), True))
+query("tests_of", f"{_BASE} SELECT id, full_name||'Test' AS full_name FROM m WHERE p_partkey%10=2 AND full_name ILIKE '%blue%'")(lambda s, d: A.tests_of(_renamed(s, d), "blue"))
+query("cluster_of", "WITH q AS (SELECT label FROM embeddings WHERE vec_id=7) SELECT 'cluster-'||label AS cluster_id, 'label '||label AS label, 1.0::DOUBLE AS cohesion, CAST((SELECT count(*) FROM embeddings e WHERE e.label=q.label) AS INTEGER) AS member_count FROM q")(lambda s, d: R.cluster_of(graph(s, d), "7").withColumn("cohesion", F.col("cohesion").cast("double")))
+query("export_edges", f"{_BASE}, k AS (SELECT id FROM m JOIN embeddings ON id=CAST(vec_id AS VARCHAR) WHERE 'label '||label ILIKE '%label 3%') SELECT caller_id, callee_id FROM calls WHERE caller_id IN (SELECT id FROM k) OR callee_id IN (SELECT id FROM k)")(lambda s, d: R.export_edges(graph(s, d), "label 3"))
+query("export_counts", f"{_BASE}, k AS (SELECT id FROM m JOIN embeddings ON id=CAST(vec_id AS VARCHAR) WHERE 'label '||label ILIKE '%label 3%') SELECT (SELECT count(*) FROM k) AS method_count, count(*) AS relationship_count, 'label 3' AS concept FROM calls WHERE caller_id IN (SELECT id FROM k) OR callee_id IN (SELECT id FROM k)")(lambda s, d: R.export_counts(graph(s, d), "label 3"))
+
+
+# stores
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods saved, kept as the baseline, saved again without some; both read back."""
+    root, t = scratch_path(spark, "store"), graph(spark, sf_dir)
+    T.save(t, root)
+    T.save_baseline(spark, root)
+    T.save(t.with_tables(methods=t.methods.where(F.col("id").cast("long") % 2 == 0)), root)
+    read_ = lambda name: T.load(spark, root, name).methods.select(F.lit(name).alias("snapshot"), "id", "full_name", "start_line", "is_static", "accessibility")
+    return read_("current").union(read_("baseline"))
+
+
+_SCANNED = "id, full_name, start_line, p_partkey%3=0 AS is_static, accessibility FROM m"
+query("store_roundtrip", f"{_BASE} SELECT 'baseline' AS snapshot, {_SCANNED} UNION ALL SELECT 'current', {_SCANNED} WHERE p_partkey%2=0")(_stored)
+query("upsert_metadata", "SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey%3=0 THEN 'new' ELSE n_name END AS value FROM nation UNION ALL SELECT 'added', 'new'")(lambda s, d: _metadata(s, d))
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))
+    new = old.where("cast(key as int) % 3 = 0").select("key", F.lit("new").alias("value")).union(spark.createDataFrame([("added", "new")], "key string, value string"))
+    return T.upsert_metadata(old, new)
+
+
+# scalar functions
+query("tokenize_lower", f"{_BASE} SELECT id, lower(array_to_string(regexp_extract_all(name, '([A-Z]+[a-z]*|[a-z]+|[0-9]+)'), ' ')) AS tokens FROM m")(lambda s, d: graph(s, d).methods.select("id", F.array_join(N.tokenize_lower(F.col("name")), " ").alias("tokens")))
+query("pascal_split", "SELECT p_partkey, array_to_string(regexp_extract_all(p_type||'x'||p_brand, '^[^A-Z]+|[A-Z][^A-Z]*'), '|') AS parts FROM part")(lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(N.pascal_split(F.concat("p_type", F.lit("x"), "p_brand")), "|").alias("parts")))
+query("collapsed_signature", r"SELECT doc_id, md5(trim(regexp_replace(text, '[\t\n\f\r ]+', ' ', 'g'))) AS signature FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", F.md5(N.collapse_space(F.col("text"))).alias("signature")))
+query("clean_types", "SELECT p_partkey, regexp_extract(p_brand, '[^#]*')||'#'||regexp_extract(p_brand, '[0-9]+') AS a, replace(p_name,' ','') AS b FROM part")(lambda s, d: read(s, d, "part").select("p_partkey", N.clean_type(F.concat(F.lit("Some.Place."), "p_brand", F.lit("<List<int>, Other.Kind>[]?"))).alias("a"), N.clean_type(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("[]"))).alias("b")))
+query(
+    "semantic_payload",
+    "WITH l AS (SELECT p_partkey, list_concat(list_concat(list_concat(string_split(p_name,' '), ['get']), [lower(regexp_extract(p_brand,'[A-Za-z]+')), regexp_extract(p_brand,'[0-9]+')]), list_concat([lower(p_type)], list_concat(list_concat(['call'], string_split(p_name,' ')), list_concat(['one','two','33'], list_filter(string_split(p_name,' '), lambda x: len(x)>1))))) AS l FROM part) SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x)=i), ' ') AS payload FROM l",
+)(lambda s, d: read(s, d, "part").select("p_partkey", N.semantic_payload(F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("Get")), F.array(F.concat(F.lit("My.Space."), "p_brand", F.lit("[]"))), F.col("p_type"), F.array(F.concat(F.lit("Call_"), F.replace("p_name", F.lit(" "), F.lit("_")))), F.array(F.lit("one, Two a 33!"), F.col("p_name"), F.repeat(F.lit("long "), 30))).alias("payload")))
+query("age_buckets", "SELECT event_id, CASE WHEN n<1 THEN 'today' WHEN n<2 THEN '1d' WHEN n<30 THEN n||'d' WHEN n<365 THEN (n//30)||'mo' ELSE (n//365)||'y' END AS age FROM (SELECT event_id, date_diff('day', CAST(ts AS DATE) - CAST(event_id%700 AS INTEGER), DATE '2024-01-31') AS n FROM events)")(lambda s, d: read(s, d, "events").select("event_id", N.age_bucket(F.expr("date_sub(to_date(ts), cast(event_id % 700 as int))"), F.lit("2024-01-31").cast("date")).alias("age")))
+query("tags", f"{_BASE} SELECT id, lower(kind) AS kind_tag, CASE accessibility WHEN 'Public' THEN '+' ELSE '-' END AS visibility FROM m")(lambda s, d: (t := graph(s, d)).methods.join(t.types.select(F.col("id").alias("type_id"), "kind"), "type_id").select("id", N.kind_tag(F.col("kind")).alias("kind_tag"), N.visibility_tag(F.col("accessibility")).alias("visibility")))
+query("csv_and_rounding", "SELECT doc_id, md5(CASE WHEN regexp_matches(t, '[,\"\n\r]') THEN '\"'||replace(t,'\"','\"\"')||'\"' ELSE t END) AS field, round_even(doc_id/32.0::DOUBLE, 4) AS rounded FROM (SELECT doc_id, coalesce(text,'') AS t FROM documents)")(lambda s, d: read(s, d, "documents").select("doc_id", F.md5(N.csv_column(F.col("text"))).alias("field"), F.bround(F.col("doc_id") / 32, 4).alias("rounded")))
+_STALE = [("never", None, None, None, None, None), ("commit", "2024-01-01", "a", "b", None, None), ("sources", "2024-01-01", "a", "a", "2024-01-02", None), ("solution", "2024-01-01", "a", "a", "2023-12-31", "2024-01-03"), ("old", "2024-01-01", None, "b", None, None), ("fresh", "2024-01-30", "a", "a", "2024-01-29", "2024-01-28")]
+query("staleness", "SELECT * FROM (VALUES ('never',true,'high','never analyzed'),('commit',true,'high','commit differs'),('sources',true,'medium','sources are newer'),('solution',true,'medium','solution is newer'),('old',true,'low','older than a week'),('fresh',false,'none','current')) v(name, stale, level, reason)")(lambda s, d: _staleness(s))
+
+
+def _staleness(spark: SparkSession) -> DataFrame:
+    out = []
+    for name, at, commit, head, newest, solution in _STALE:
+        rows = [(k, v) for k, v in (("analyzed_at", at), ("commit", commit)) if v]
+        out.append(R.staleness(spark, spark.createDataFrame(rows, "key string, value string"), head, newest, "2024-01-31", solution).withColumn("name", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
+_BAD = Q.GraphQuery(Q.Seed(), Q.Expand("sideways", 101), Q.Filter(includeNamespaces=("A", "b"), excludeNamespaces=("B",), excludeTypes=(" ",), minComplexity=-1), Q.Rank("best"), Q.Output(0))
+query("query_errors", "SELECT * FROM (VALUES ('seed'),('expand.direction'),('expand.maxDepth'),('filter.minComplexity'),('filter'),('filter.excludeTypes'),('rank.strategy'),('output.maxResults')) v(place)")(lambda s, d: s.createDataFrame([(e.split(":")[0],) for e in Q.validate(_BAD)], "place string"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,36 +131,66 @@ def find_solution(start: str) -> str:
     raise FileNotFoundError(f"no solution file in {start} or above")
 
 
-def read_rules(path: str, defaults: list[dict]) -> list[dict]:
-    """Dependency rules of a JSON file, after the defaults unless it says `includeDefaults: false`."""
-    doc = json.loads(Path(path).read_text(encoding="utf-8"))
+def parse_rules(text: str, defaults: list[dict]) -> list[dict]:
+    """Dependency rules of a JSON document, after the defaults unless it says `includeDefaults: false`."""
+    doc = json.loads(text)
     return (list(defaults) if doc.get("includeDefaults", True) else []) + list(doc.get("rules", []))
 
 
+def read_rules(path: str, defaults: list[dict]) -> list[dict]:
+    """parse_rules() of a file."""
+    return parse_rules(Path(path).read_text(encoding="utf-8"), defaults)
+
+
+def parse_zones(text: str) -> list[dict]:
+    """Protected zones of a JSON document, in order."""
+    return list(json.loads(text).get("zones", []))
+
+
 def read_zones(path: str) -> list[dict]:
-    """Protected zones of a JSON file, in order; none if there is no file."""
+    """parse_zones() of a file; none if there is no file."""
     p = Path(path)
-    return list(json.loads(p.read_text(encoding="utf-8")).get("zones", [])) if p.exists() else []
+    return parse_zones(p.read_text(encoding="utf-8")) if p.exists() else []
 
 
-def write_vector_file(path: str, rows: list[tuple[str, list[float]]]) -> None:
-    """Vector index file: magic, version, dimensions, count, then length-prefixed ids with little-endian floats."""
-    dims = len(rows[0][1]) if rows else 0
+def write_vector_file(path: str, vectors: DataFrame | Iterable[tuple[str, list[float]]], dims: int | None = None) -> int:
+    """Vector index file: magic, version, dimensions, count, then length-prefixed ids with little-endian floats. Rows of
+    a table come a partition at a time; returns how many there are."""
+    rows = ((r[0], r[1]) for r in vectors.select("method_id", "vector").toLocalIterator()) if isinstance(vectors, DataFrame) else iter(vectors)
+    n = 0
     with open(path, "wb") as f:
-        f.write(struct.pack("<4siii", b"VECI", 1, dims, len(rows)))
+        f.write(struct.pack("<4siii", b"VECI", 1, dims or 0, 0))
         for name, vector in rows:
+            dims = len(vector) if dims is None else dims
+            if len(vector) != dims:
+                raise ValueError(f"{name}: {len(vector)} components and not {dims}")
             raw = name.encode()
             f.write(struct.pack("<i", len(raw)) + raw + struct.pack(f"<{dims}f", *vector))
+            n += 1
+        f.seek(0)
+        f.write(struct.pack("<4siii", b"VECI", 1, dims or 0, n))
+    return n
 
 
 def read_vector_file(spark: SparkSession, path: str) -> DataFrame:
-    blob = Path(path).read_bytes()
-    magic, version, dims, count = struct.unpack_from("<4siii", blob)
-    if magic != b"VECI" or version != 1:
-        raise ValueError("not a vector index file")
-    at, rows = 16, []
-    for _ in range(count):
-        (n,) = struct.unpack_from("<i", blob, at)
-        rows.append((blob[at + 4 : at + 4 + n].decode(), list(struct.unpack_from(f"<{dims}f", blob, at + 4 + n))))
-        at += 4 + n + 4 * dims
-    return spark.createDataFrame(rows, "method_id string, vector array<float>")
+    """method_id and vector of an index file, or of all in a folder; each file is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                data = blob.as_buffer()
+                view = memoryview(data)
+                magic, version, dims, count = struct.unpack_from("<4siii", view)
+                if magic != b"VECI" or version != 1:
+                    raise ValueError("not a vector index file")
+                at, ids, vectors = 16, [], []
+                for k in range(count):
+                    (n,) = struct.unpack_from("<i", view, at)
+                    ids.append(bytes(view[at + 4 : at + 4 + n]).decode())
+                    vectors.append(struct.unpack_from(f"<{dims}f", view, at + 4 + n))
+                    at += 4 + n + 4 * dims
+                    if len(ids) == 4096 or k == count - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(vectors, pa.list_(pa.float32()))], names=["method_id", "vector"])
+                        ids, vectors = [], []
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "method_id string, vector array<float>")

@@ -22,14 +22,16 @@ def calls(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> DataFrame:
     return pairs.select(F.col("a").cast("string").alias("caller_id"), F.col("b").cast("string").alias("callee_id"))
 
 
-def graph(spark: SparkSession, sf_dir: str, before: str | None = None, cyclic: bool = False) -> GraphTables:
+def graph(spark: SparkSession, sf_dir: str, before: str | None = None, cyclic: bool = False, since: str | None = None) -> GraphTables:
     """The tables as code: regions are projects, nations namespaces, suppliers types, parts methods, runs of parts in
-    an order calls. With `before`, only lines of orders before that date: an older snapshot."""
+    an order calls. With `before`, only lines of orders before that date: an older snapshot; with `since`, from it on."""
     plain = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
     region, nation, supplier, part = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier", "part"))
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     if before:
         lines = lines.join(read(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(before).cast("timestamp")).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    if since:
+        lines = lines.join(read(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit(since).cast("timestamp")).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     per = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey"), F.count("*").alias("loc"), F.countDistinct("l_linenumber").alias("nesting"))
     places = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows at any scale
     kind = F.when(F.col("s_suppkey") % 7 == 0, "Interface").otherwise("Class")
