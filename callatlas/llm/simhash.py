@@ -135,6 +135,7 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     same = materialize(rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "h"), "repeated")
     source = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("h"))
     is_ = lambda other: source["doc_id"].eqNullSafe(other["doc_id"]) & (source["h"] == other["h"])
+    chosen = chosen.hint("merge")  # it grows with the rows: never broadcast
     stay = source.join(chosen, is_(chosen), "left_semi")
     if same.isEmpty():
         return stay.select("row.*")
