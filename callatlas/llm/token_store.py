@@ -153,16 +153,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
         out: list[bytes | None] = [None] * len(texts)
-        rest = []
         get, cut = self.words.__getitem__, self.cut.findall
         for k, t in enumerate(texts):
             if self.fast and self.plain.fullmatch(t) and not ("<" in t and self.special.search(t)):
                 out[k] = b"".join(map(get, cut(t.lower())))
-            else:
-                rest.append(k)
-        if rest:
-            for k, e in zip(rest, self.library.encode_batch([texts[k] for k in rest], add_special_tokens=False)):
-                out[k] = np.array(e.ids, "<u4").tobytes()
+            else:  # one by one: the library's encodings hold hundreds of bytes a token
+                out[k] = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
