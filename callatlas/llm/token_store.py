@@ -41,7 +41,7 @@ SHARD_BYTES = 32 << 20
 #: Shards whose sizes are summed together, and shards whose starts are broadcast at most (16 bytes each).
 GROUP, BROADCAST_SHARDS = 4096, 500_000
 #: Distinct words that a Python worker keeps ids of.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 END_ID = 2
 _PLANES = 32
 _HEAD = struct.Struct("<4sIQII")
@@ -94,15 +94,19 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordTokens(dict):
-    """Ids of words, filled by the tokenizers library's model as asked for; at most CACHE_WORDS of them."""
+    """Ids of words, filled by the tokenizers library's model as asked for. Once half of CACHE_WORDS are held they grow
+    old, and the old ones before them go; an old word that is asked for is young again, so frequent words stay."""
 
     def __init__(self, model, to_model):
         super().__init__()
-        self.model, self.to_model = model, to_model
+        self.model, self.to_model, self.old = model, to_model, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.to_model))], "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.to_model))], "<u4").tobytes()
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
