@@ -96,16 +96,6 @@ def test_token_store(spark, odd, empty):
         assert token_store.read_digests(spark, out).count() == n
 
 
-def test_words_that_were_forgotten(monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE_WORDS", 6)
-    rng = random.Random(17)
-    e = token_store.Encoder(tokenizer_file("word_bpe_49k.json"))
-    for _ in range(50):
-        text = " ".join(rng.choice(["the", "ouea", "heand", "rereou", "tionhe", "bleatat", "thndor", "x", "stouer"]) for _ in range(rng.randrange(12)))
-        assert e.encode([text])[0] == np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert len(e.words) <= 3 and len(e.words.old) <= 3
-
-
 def test_shard_starts_in_groups(spark, monkeypatch):
     monkeypatch.setattr(token_store, "GROUP", 3)
     rng = random.Random(15)
