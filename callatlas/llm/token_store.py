@@ -41,7 +41,7 @@ SHARD_BYTES = 32 << 20
 #: Shards whose sizes are summed together, and shards whose starts are broadcast at most (16 bytes each).
 GROUP, BROADCAST_SHARDS = 4096, 500_000
 #: Distinct words that a Python worker keeps ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 330_000
 END_ID = 2
 _PLANES = 32
 _HEAD = struct.Struct("<4sIQII")
