@@ -93,7 +93,8 @@ def _met(one: DataFrame, keys: list[str], max_distance: int) -> DataFrame:
     meet = " and ".join(f"{k} = same_{k}" for k in keys) + f" and (side_x is not null or x < y) and bit_count(x ^ y) between 1 and {max_distance}"
     if "fine" in keys:
         meet += " and (fine_x is null or fine_x <> fine_y)"
-    return left.join(right, F.expr(meet)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # signatures are many times the fingerprints that sizes are estimated by: never broadcast
+    return left.join(right.hint("merge"), F.expr(meet)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _grouped(docs: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
