@@ -14,11 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callatlas.operators.held import Digraph, held, walk_blocks
+from callatlas.operators.held import Digraph, held, walk_blocks, walkable
 from callatlas.sources.scratch import materialize, release
 from callatlas.sources.tables import GraphTables, call_edges
 
@@ -119,9 +120,8 @@ def closure(edges: DataFrame) -> DataFrame:
     costs its pairs times the degree, then path lengths double, so that a deep one takes few rounds: a path longer
     than k begins with one of exactly k, so only pairs at that very distance are joined with all others."""
     edges = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    table = held(edges)
-    if table is not None:
-        g = Digraph.of(table)
+    g = walkable(edges)
+    if g is not None:
         return walk_blocks(edges.sparkSession, g, np.arange(len(g.names)), _pairs_of_block, "src string, dst string, d int")
     paths = front = materialize(edges.withColumn("d", F.lit(1)), "paths")
     reach = 1
@@ -142,10 +142,11 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def _pairs_of_block(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = g.names.take(pa.array(starts))
     for d, nodes, rows in g.spread(starts):
         for k in range(0, len(nodes), 1024):
             at, start = np.nonzero(_bits(rows[k : k + 1024], len(starts)))
-            yield pa.RecordBatch.from_arrays([pa.array(g.names[starts[start]], pa.string()), pa.array(g.names[nodes[k : k + 1024][at]], pa.string()), pa.array(np.full(len(at), d, np.int32))], names=["src", "dst", "d"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(start)), g.names.take(pa.array(nodes[k : k + 1024][at])), pa.array(np.full(len(at), d, np.int32))], names=["src", "dst", "d"])
 
 
 def _bits(rows: np.ndarray, n: int) -> np.ndarray:
@@ -178,17 +179,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
 
 
-def blast_depth(t: GraphTables, reach: DataFrame | None = None) -> DataFrame:
+def blast_depth(t: GraphTables, reach: DataFrame | None = None, g: Digraph | None = None) -> DataFrame:
     """id and blast_depth: the longest path from any entry point. Calls within a cycle count as one node (the depth
     would not be finite otherwise), so acyclic graphs get exact path lengths; nodes without callers 0.
 
     Beyond a measured small size it goes a level at a time: nodes at the end of a path of k calls from a root, for
-    k = 0, 1, ...; cycles are found with `reach`, the closure."""
-    edges = materialize(call_edges(t.method_calls, t.methods).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), "edges")
-    table = held(edges)
-    if table is not None:
-        g = Digraph.of(table)
-        far = t.spark.createDataFrame(pa.table({"id": pa.array(g.names, pa.string()), "blast_depth": pa.array(g.longest(), pa.int32())}), "id string, blast_depth int")
+    k = 0, 1, ...; cycles are found with `reach`, the closure. `g`: the graph, if it is held."""
+    edges = None if g is not None else materialize(call_edges(t.method_calls, t.methods).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), "edges")
+    g = walkable(edges) if g is None and reach is None else g
+    if g is not None:
+        far = materialize(t.spark.createDataFrame(pa.table({"id": g.names, "blast_depth": pa.array(g.longest(), pa.int32())}), "id string, blast_depth int"), "depths")
         return t.methods.select("id").join(far, "id", "left").select("id", F.coalesce("blast_depth", F.lit(0)).alias("blast_depth"))
     reach = closure(edges) if reach is None else reach
     back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -212,21 +212,22 @@ def blast_radius(t: GraphTables, max_entry_points: int = 5) -> DataFrame:
     """id, direct and transitive callers (never itself), longest depth from an entry point and, nearest first, names of
     up to `max_entry_points` entry points of every method. Calls from or to unknown methods don't count.
 
-    Of a graph of a measured small size no pair leaves a task: each block of starts sends, for every node it reaches,
-    how many of its starts do and the nearest entry points among them."""
+    Of a graph of a measured size that tasks can hold no pair leaves one: a method walks to its callers, counts them and
+    takes the nearest that nothing calls, and sends one row."""
+    t = t.with_tables(methods=materialize(t.methods.select("id", "full_name"), "methods"))
     edges = materialize(call_edges(t.method_calls, t.methods).select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")), "edges")
     direct = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct_callers"))
     roots = t.methods.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select(F.col("id").alias("src"), "full_name")
-    table, reach = held(edges), None
-    if table is not None:
-        g = Digraph.of(table)
+    g, reach = walkable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), None
+    if g is not None:
 
         def emit(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield _reached(g, starts, max_entry_points)
 
         parts = materialize(walk_blocks(t.spark, g, np.arange(len(g.names)), emit, "dst string, n long, near array<struct<d:int,src:string>>"), "reached")
-        above = parts.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("transitive_callers"))
+        above = parts.select(F.col("dst").alias("id"), F.col("n").alias("transitive_callers"))
         near = parts.select("dst", F.explode("near").alias("e")).select("dst", "e.d", "e.src")
+        g = g.reversed()
     else:
         reach = closure(edges)
         above = reach.where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("transitive_callers"))
@@ -234,30 +235,58 @@ def blast_radius(t: GraphTables, max_entry_points: int = 5) -> DataFrame:
     order = W.partitionBy("dst").orderBy("d", "src")  # Spark cuts each partition to the first ranks before shuffling
     named = near.join(roots, "src").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_entry_points)
     names = named.groupBy(F.col("dst").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "full_name"))), lambda s: s["full_name"]), ",").alias("entry_points"))
-    out = t.methods.select("id").join(direct, "id", "left").join(above, "id", "left").join(blast_depth(t, reach), "id").join(names, "id", "left")
+    out = t.methods.select("id").join(direct, "id", "left").join(above, "id", "left").join(blast_depth(t, reach, g), "id").join(names, "id", "left")
     return out.select("id", F.coalesce("direct_callers", F.lit(0)).alias("direct_callers"), F.coalesce("transitive_callers", F.lit(0)).alias("transitive_callers"), "blast_depth", F.coalesce("entry_points", F.lit("")).alias("entry_points"))
 
 
-def _reached(g: Digraph, starts: np.ndarray, most: int) -> pa.RecordBatch:
-    """Every node that a block's starts reach: how many do (itself not counted), and of those that nothing calls the
-    `most` nearest, by distance and then name."""
-    n = np.zeros(len(g.names), np.int64)
-    found = np.zeros(len(g.names), np.int64)
-    entry = np.bincount(g.dst, minlength=len(g.names))[starts] == 0
-    near: list[list[dict]] = [[] for _ in range(len(g.names))]
-    names = g.names[starts]
-    for d, nodes, rows in g.spread(starts):
-        bits = _bits(rows, len(starts))
-        n[nodes] += bits.sum(1, dtype=np.int64) - (bits & (nodes[:, None] == starts[None, :])).sum(1, dtype=np.int64)
-        want = np.flatnonzero(found[nodes] < most)
-        for k, s in zip(*np.nonzero(bits[want] & entry)):
-            node = nodes[want[k]]
-            if found[node] < most:
-                found[node] += 1
-                near[node].append({"d": d, "src": names[s]})
-    at = np.flatnonzero(n)
+def _reached(back: Digraph, starts: np.ndarray, most: int) -> pa.RecordBatch:
+    """Every start of a block, walking to callers: how many reach it (itself not counted), and of those that nothing
+    calls the `most` nearest, by distance and then name."""
+    n = np.zeros(len(starts), np.int64)
+    entry = back.first[1:] == back.first[:-1]
+    near: list[list[dict]] = [[] for _ in range(len(starts))]
+    want = np.arange(len(starts))
+    for d, nodes, rows in back.spread(starts):
+        n += _counts(rows, len(starts))
+        own = np.searchsorted(starts, nodes)
+        own[own == len(starts)] = 0
+        at = np.flatnonzero(starts[own] == nodes)
+        n[own[at]] -= (rows[at, own[at] // 64] >> (own[at] % 64).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+        roots = np.flatnonzero(entry[nodes])
+        roots = roots[np.argsort(nodes[roots])]
+        for k in range(0, len(roots), 1024):
+            if not len(want):
+                break
+            some = roots[k : k + 1024]
+            bits = _bits(rows[some], len(starts))[:, want]
+            room = most - np.array([len(near[w]) for w in want.tolist()])
+            who, root = np.nonzero((bits & (np.cumsum(bits, axis=0, dtype=np.int32) <= room)).T)
+            for w, name in zip(want[who].tolist(), back.names.take(pa.array(nodes[some[root]])).to_pylist()):
+                near[w].append({"d": d, "src": name})
+            want = np.array([w for w in want.tolist() if len(near[w]) < most], np.int64)
     kind = pa.list_(pa.struct([("d", pa.int32()), ("src", pa.string())]))
-    return pa.RecordBatch.from_arrays([pa.array(g.names[at], pa.string()), pa.array(n[at]), pa.array([near[k] for k in at], kind)], names=["dst", "n", "near"])
+    return pa.RecordBatch.from_arrays([back.names.take(pa.array(starts)), pa.array(n), pa.array(near, kind)], names=["dst", "n", "near"])
+
+
+def _counts(rows: np.ndarray, n: int) -> np.ndarray:
+    """How many rows of bits have each of n bits set. Counts are added as numbers whose binary digits are rows of bits,
+    half of them to the other half again and again."""
+    total = np.zeros(n, np.int64)
+    for k in range(0, len(rows), 8192):
+        digits = [rows[k : k + 8192]]
+        while len(digits[0]) > 1:
+            if len(digits[0]) % 2:
+                digits = [np.concatenate([x, np.zeros_like(x[:1])]) for x in digits]
+            half, carry, out = len(digits[0]) // 2, None, []
+            for x in digits:
+                a, b = x[:half], x[half:]
+                one = a ^ b
+                out.append(one if carry is None else one ^ carry)
+                carry = a & b if carry is None else (a & b) | (one & carry)
+            digits = [*out, carry]
+        for i, x in enumerate(digits):
+            total += _bits(x, n)[0].astype(np.int64) << i if len(x) else 0
+    return total
 
 
 def blast_radius_of(calls: DataFrame, method_id: str) -> int:
@@ -270,20 +299,19 @@ def callers_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and br, the number of nodes that reach each of `nodes` (column id) over edges src, dst; one on a cycle counts
     itself. Only these nodes are walked from, backwards; those that nothing reaches have no row."""
     back = materialize(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct(), "back")
-    asked = materialize(nodes.select("id").distinct(), "asked")
-    table = held(back)
-    names = None if table is None else held(asked)
-    if names is not None:
-        g = Digraph.of(table)
+    asked = materialize(nodes.select("id").distinct().join(back.select(F.col("src").alias("id")), "id", "left_semi"), "asked")
+    g = walkable(back)
+    if g is not None:
+        names = asked.toArrow().column(0).combine_chunks()  # of the graph's size at most
+        starts = pc.index_in(names, value_set=g.names).drop_null().to_numpy()
 
         def emit(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
             n = np.zeros(len(starts), np.int64)
             for _, _, rows in g.spread(starts):
-                for k in range(0, len(rows), 4096):
-                    n += _bits(rows[k : k + 4096], len(starts)).sum(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g.names[starts], pa.string()), pa.array(n)], names=["id", "br"])
+                n += _counts(rows, len(starts))
+            yield pa.RecordBatch.from_arrays([g.names.take(pa.array(starts)), pa.array(n)], names=["id", "br"])
 
-        return walk_blocks(edges.sparkSession, g, np.unique(g.numbers(names.column(0).to_pylist())), emit, "id string, br long").where("br > 0")
+        return walk_blocks(edges.sparkSession, g, np.unique(starts), emit, "id string, br long").where("br > 0")
     front = materialize(back.join(asked.withColumnRenamed("id", "src"), "src", "left_semi"), "front")
     seen = front
     while not front.isEmpty():

@@ -67,3 +67,34 @@ def test_size_is_measured(spark):
     df = spark.createDataFrame([("a", "b"), ("c", None)], "src string, dst string")
     assert held.held(df.where("dst is not null"), 18).num_rows == 1 and held.held(df.where("dst is not null"), 17) is None
     assert held.held(df.limit(0)).num_rows == 0
+
+
+@pytest.mark.parametrize("name", sorted(PAIRS))
+def test_graphs_held_as_numbers_agree(spark, monkeypatch, name):
+    pairs = PAIRS[name]
+    want = reach(pairs)
+    ids = sorted({x for p in pairs for x in p})
+    df = spark.createDataFrame(pairs, "caller_id string, callee_id string")
+    t = GraphTables(spark).with_tables(methods=spark.createDataFrame([(i, f"f {i}", i) for i in ids], "id string, full_name string, name string"), method_calls=df)
+    monkeypatch.setattr(held, "HELD_BYTES", 1)
+    monkeypatch.setattr(held, "NUMBERED", 1 << 20)
+    monkeypatch.setattr(held, "BLOCK", 3)  # components are packed and cut
+    monkeypatch.setattr(G, "STEPS", 0)  # the way in DataFrames would not end right
+    edges = G.directed(df, "callees")
+    assert {(r.src, r.dst): r.d for r in G.closure(edges).collect()} == want
+    assert {r.id: r.br for r in G.callers_of(edges, t.methods).collect()} == {i: n for i in ids if (n := sum(b == i for _, b in want))}
+    called = {b for a, b in pairs if a != b}
+    rows = {r.id: tuple(r)[1:] for r in G.blast_radius(t, 3).collect()}
+    assert {i: r[1] for i, r in rows.items()} == {i: sum(b == i and a != i for a, b in want) for i in ids}
+    near = {i: sorted((d, a) for (a, b), d in want.items() if b == i and a not in called)[:3] for i in ids}
+    assert {i: r[3] for i, r in rows.items()} == {i: ",".join(f"f {a}" for _, a in near[i]) for i in ids}
+
+
+def test_wide_walks_count_as_plain_python(spark):
+    rng = random.Random(5)
+    pairs = sorted({(a, b) for a, b in (sorted((rng.randrange(300), rng.randrange(300))) for _ in range(3000)) if a != b} | {(301, 302), (302, 301)})
+    edges = spark.createDataFrame([(f"{a:03d}", f"{b:03d}") for a, b in pairs], "src string, dst string")
+    want = {}
+    for _, b in reach(pairs):
+        want[f"{b:03d}"] = want.get(f"{b:03d}", 0) + 1
+    assert {r.id: r.br for r in G.callers_of(edges, edges.selectExpr("dst as id")).collect()} == want
