@@ -19,6 +19,8 @@ from callatlas.sources.scratch import materialize
 DIMS = 384
 #: Prefixes of a token, and vectors of a bucket, that are joined with each other as one; more are cut into cells.
 CELL_ROWS, BUCKET_ROWS = 2000, 256
+#: Scores of queries against a shard that are held at a time: 32 MB of doubles.
+TILE = 4 << 20
 #: Verbs and nouns that labels pass over, lower-cased.
 STOPWORDS = ("get", "set", "the", "and", "for", "with", "from", "this", "that", "async", "to", "of", "is", "has", "on", "in", "by")
 #: Words of test names.
@@ -80,6 +82,10 @@ def _keyed(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("method_id").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("id is not null and v is not null")
 
 
+def _by_id(rows: Rows) -> Rows:
+    return {n: (ids[order], m[order]) for n, (ids, m) in rows.items() for order in [np.argsort(ids, kind="stable")]}
+
+
 def _units(rows: Rows) -> Rows:
     out = {}
     for n, (ids, m) in rows.items():
@@ -88,6 +94,12 @@ def _units(rows: Rows) -> Rows:
     return out
 
 
+def _tiles(queries: int, candidates: int) -> Iterator[slice]:
+    """Queries in runs whose scores against all candidates make a tile."""
+    step = max(1, TILE // max(1, candidates))
+    return (slice(k, k + step) for k in range(0, queries, step))
+
+
 def knn(vectors: DataFrame, k: int = 10) -> DataFrame:
     """query_id, method_id, score and rank of each vector's k + 1 nearest by cosine, itself included.
 
@@ -99,14 +111,20 @@ def knn(vectors: DataFrame, k: int = 10) -> DataFrame:
             if n not in shard:
                 continue
             ids, m = shard[n]
-            scores = q @ m.T
             keep = min(k + 1, m.shape[0])
-            least = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-            r, c = np.nonzero(scores >= least[:, None] - 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(names[r], pa.string()), pa.array(ids[c], pa.string()), pa.array(scores[r, c])], names=["query_id", "method_id", "score"])
+            for rows in _tiles(len(q), len(m)):
+                scores = q[rows] @ m.T
+                least = np.partition(scores, len(m) - keep, axis=1)[:, len(m) - keep]
+                r, c = np.nonzero(scores >= least[:, None] - 1e-6)
+                best = scores[r, c]
+                order = np.lexsort((c, -best, r))  # of equal scores only the smallest ids can be among the best
+                r, c, best = r[order], c[order], best[order]
+                head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (best[1:] != best[:-1])]))
+                few = np.arange(len(r)) - np.repeat(head, np.diff(np.append(head, len(r)))) < keep
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows][r[few]], pa.string()), pa.array(ids[c[few]], pa.string()), pa.array(best[few])], names=["query_id", "method_id", "score"])
 
     rows = _keyed(vectors)
-    near = against_shards(rows, rows, _units, ask, "query_id string, method_id string, score double")
+    near = against_shards(rows, rows, lambda found: _units(_by_id(found)), ask, "query_id string, method_id string, score double")
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "method_id")  # sums in another order differ in the last bits
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
 
@@ -256,9 +274,11 @@ def near_pairs(vectors: DataFrame, eps: float) -> DataFrame:
             if n not in shard:
                 continue
             ids, m = shard[n]
-            r, c = np.nonzero(1 - q @ m.T <= eps + 1e-12)
-            keep = names[r] < ids[c]
-            yield pa.RecordBatch.from_arrays([pa.array(names[r][keep], pa.string()), pa.array(ids[c][keep], pa.string())], names=["a", "b"])
+            for rows in _tiles(len(q), len(m)):
+                r, c = np.nonzero(1 - q[rows] @ m.T <= eps + 1e-12)
+                r += rows.start
+                keep = names[r] < ids[c]
+                yield pa.RecordBatch.from_arrays([pa.array(names[r][keep], pa.string()), pa.array(ids[c][keep], pa.string())], names=["a", "b"])
 
     rows = _keyed(vectors)
     return against_shards(rows, rows, _units, ask, "a string, b string")

@@ -329,3 +329,16 @@ def test_build_and_cli(spark, shop, tmp_path, capsys):
     for args in (["hotspots"], ["--format", "json", "impact", "UserService.GetUser"], ["--format", "table", "layers"], ["duplicates"], ["clusters"], ["--format", "csv", "coupling"], ["query", '{"seed": {"namespace": "TestNs"}}'], ["save-baseline"], ["drift"], ["token-search", "order user save"]):
         assert cli.main([*root, *args]) == 0
     assert "ProcessOrder" in capsys.readouterr().out
+
+
+def test_queries_meet_shards_in_tiles(spark, monkeypatch):
+    rng = random.Random(14)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(f"v{i:03d}", base[i % 20]) for i in range(240)]  # 12 copies each
+    df = spark.createDataFrame(rows, "method_id string, vector array<double>")
+    tiles = []
+    monkeypatch.setattr(S, "_tiles", lambda n, m, f=S._tiles: tiles.append((n, m)) or f(n, m))
+    monkeypatch.setattr(S, "TILE", 500)
+    assert [x.stop - x.start for x in S._tiles(5, 240)] == [2, 2, 2] and tiles == [(5, 240)]
+    got = {(r.query_id, r["rank"]): r.method_id for r in S.knn(df, 3).collect()}
+    assert got == {(f"v{i:03d}", k + 1): f"v{i % 20 + 20 * k:03d}" for i in range(240) for k in range(4)}
