@@ -342,3 +342,11 @@ def test_queries_meet_shards_in_tiles(spark, monkeypatch):
     assert [x.stop - x.start for x in S._tiles(5, 240)] == [2, 2, 2] and tiles == [(5, 240)]
     got = {(r.query_id, r["rank"]): r.method_id for r in S.knn(df, 3).collect()}
     assert got == {(f"v{i:03d}", k + 1): f"v{i % 20 + 20 * k:03d}" for i in range(240) for k in range(4)}
+    buckets = {}
+    for r in S.lsh_buckets(df).collect():
+        buckets.setdefault(r.bucket, set()).add(r.id)
+    want = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    found = [tuple(r) for r in S.lsh_candidates(df).collect()]
+    assert len(found) == len(want) and set(found) == want
+    twice = [tuple(r) for r in S.lsh_candidates(df.union(df.limit(30))).collect()]
+    assert len(twice) == len(want) and set(twice) == want
