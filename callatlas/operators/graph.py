@@ -464,7 +464,8 @@ def rank(t: GraphTables, nodes: DataFrame, by: str = "combined", weights: tuple[
     """Score of nodes (column id): blast radius, complexity, coupling, or all three, each over its greatest among the
     nodes, weighted. A single node scores 0."""
     check_weights(weights)
-    edges = t.method_calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).where("src <> dst").distinct()
+    edges = materialize(t.method_calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst")).where("src <> dst").distinct(), "edges")
+    nodes = materialize(nodes.select("id"), "ranked")
     br = callers_of(edges, nodes)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("coup"))
     cc = t.metrics.select(F.col("method_id").alias("id"), F.col("cognitive_complexity").alias("cc"))

@@ -98,3 +98,16 @@ def test_wide_walks_count_as_plain_python(spark):
     for _, b in reach(pairs):
         want[f"{b:03d}"] = want.get(f"{b:03d}", 0) + 1
     assert {r.id: r.br for r in G.callers_of(edges, edges.selectExpr("dst as id")).collect()} == want
+
+
+def test_rank_walks_graphs_held_as_numbers(spark, monkeypatch):
+    pairs = PAIRS["cyclic"]
+    ids = sorted({x for p in pairs for x in p})
+    t = GraphTables(spark).with_tables(metrics=spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "method_id string, cognitive_complexity int"), method_calls=spark.createDataFrame(pairs, "caller_id string, callee_id string"))
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    want = {tuple(r) for r in G.rank(t, nodes).collect()}
+    walks = []
+    monkeypatch.setattr(G, "walk_blocks", lambda *a, f=G.walk_blocks: walks.append(1) or f(*a))
+    monkeypatch.setattr(held, "HELD_BYTES", 1)
+    monkeypatch.setattr(held, "NUMBERED", 1 << 20)
+    assert {tuple(r) for r in G.rank(t, nodes).collect()} == want and walks
