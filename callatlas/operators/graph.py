@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callatlas.operators.held import Digraph, held, walk_blocks, walkable
+from callatlas.operators import held as bounds
+from callatlas.operators.held import Digraph, held, measured, walk_blocks, walkable
 from callatlas.sources.scratch import materialize, release
 from callatlas.sources.tables import GraphTables, call_edges
 
@@ -34,11 +35,16 @@ DRIVER_EDGES = 200_000
 
 def directed(calls: DataFrame, direction: str) -> DataFrame:
     """Edges src, dst to follow in a direction."""
+    return _steps(calls, direction).distinct()
+
+
+def _steps(calls: DataFrame, direction: str) -> DataFrame:
+    """directed(), but an edge comes as often as it is stored."""
     if direction not in DIRECTIONS:
         raise ValueError(f"direction is one of {', '.join(DIRECTIONS)}")
     down = calls.select(F.col("caller_id").alias("src"), F.col("callee_id").alias("dst"))
     up = calls.select(F.col("callee_id").alias("src"), F.col("caller_id").alias("dst"))
-    return {"callees": down, "callers": up, "both": down.union(up)}[direction].where("src <> dst").distinct()
+    return {"callees": down, "callers": up, "both": down.union(up)}[direction].where("src <> dst")
 
 
 def bfs(calls: DataFrame, seeds: DataFrame, direction: str = "callees", max_depth: int | None = 3, known: DataFrame | None = None) -> DataFrame:
@@ -46,13 +52,14 @@ def bfs(calls: DataFrame, seeds: DataFrame, direction: str = "callees", max_dept
     `known`, nodes outside it are neither emitted nor expanded. Graphs and seeds of a measured small size are walked in
     memory, others a level at a time in DataFrames."""
     spark = calls.sparkSession
-    edges = directed(calls, direction)
-    if known is not None:
+    # nodes are known or not a level at a time, and found ones made distinct: edges go through no shuffle of their own
+    inside = lambda d: d if known is None else known.select("id").join(d, "id", "left_semi").distinct()
+    edges = materialize(_steps(calls, direction), "edges")
+    frontier = materialize(inside(seeds.select("id").distinct()), "seeds")
+    small = measured(edges) <= bounds.HELD_BYTES
+    if small and known is not None:
         edges = edges.join(known.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-        seeds = seeds.join(known.select("id"), "id", "left_semi")
-    edges = materialize(edges, "edges")
-    frontier = materialize(seeds.select("id").distinct(), "seeds")
-    table = held(edges)
+    table = edges.toArrow() if small else None
     first = None if table is None else held(frontier)
     if first is not None:
         g, names = Digraph.of(table), first.column(0).to_pylist()
@@ -67,7 +74,7 @@ def bfs(calls: DataFrame, seeds: DataFrame, direction: str = "callees", max_dept
         depth += 1
         seen = reduce(DataFrame.union, [x.select("id") for x in levels])
         near = edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = materialize(near, "frontier")
+        frontier = materialize(inside(near), "frontier")
         if frontier.isEmpty():
             break
         levels.append(frontier.withColumn("depth", F.lit(depth)))
@@ -323,10 +330,10 @@ def callers_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def impact(t: GraphTables, method_id: str, max_depth: int | None = None) -> DataFrame:
     """The method and everything that calls it, with depth and whether nothing calls it in turn."""
-    seed = t.methods.where(F.col("id") == method_id).select("id")
-    found = bfs(t.method_calls, seed, "callers", max_depth, t.methods)
-    called = t.method_calls.select(F.col("callee_id").alias("id")).distinct().withColumn("called", F.lit(True))
-    return found.join(t.methods.select("id", "full_name"), "id").join(called, "id", "left").select("id", "full_name", "depth", F.col("called").isNull().alias("is_entry"))
+    methods = materialize(t.methods.select("id", "full_name"), "methods")
+    found = bfs(t.method_calls, methods.where(F.col("id") == method_id).select("id"), "callers", max_depth, methods)
+    called = t.method_calls.select(F.col("callee_id").alias("id")).join(found.select("id"), "id", "left_semi").distinct().withColumn("called", F.lit(True))
+    return found.join(methods, "id").join(called, "id", "left").select("id", "full_name", "depth", F.col("called").isNull().alias("is_entry"))
 
 
 def impact_summary(found: DataFrame) -> DataFrame:

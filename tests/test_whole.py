@@ -81,3 +81,16 @@ def test_lines_of_code_of_every_document(spark, tmp_path):
     texts = [(1, "a\n/* b\n c */ d\n// e\n\n", 2), (2, None, 0), (3, "/* x */\ny", 1)]
     spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in QUERIES["lines_of_code"](spark, str(tmp_path)).collect()} == {(i, n) for i, _, n in texts}
+
+
+def test_impact_makes_calls_once(spark, monkeypatch):
+    from callatlas import queries
+
+    want = {tuple(r) for r in QUERIES["impact"](spark, SMALL).collect()}
+    made = []
+    monkeypatch.setattr(queries, "calls", lambda *a: made.append("again") or 1 / 0)
+    for name in ("impact", "impact_summary", "impact_by_depth", "impact_top", "entry_callers"):
+        rows = QUERIES[name](spark, SMALL).collect()
+        if name == "impact":
+            assert {tuple(r) for r in rows} == want
+    assert not made
