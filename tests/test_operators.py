@@ -350,3 +350,15 @@ def test_queries_meet_shards_in_tiles(spark, monkeypatch):
     assert len(found) == len(want) and set(found) == want
     twice = [tuple(r) for r in S.lsh_candidates(df.union(df.limit(30))).collect()]
     assert len(twice) == len(want) and set(twice) == want
+
+
+def test_save_sorts_only_repeated_keys(spark, shop, tmp_path, monkeypatch):
+    first = T.first_wins
+    monkeypatch.setattr(T, "first_wins", lambda df, keys, order=None: 1 / 0)
+    T.save(shop, str(tmp_path / "a"))
+    T.save_baseline(spark, str(tmp_path / "a"))
+    assert T.load(spark, str(tmp_path / "a"), "baseline").methods.count() == shop.methods.count()
+    monkeypatch.setattr(T, "first_wins", first)
+    twice = shop.with_tables(methods=shop.methods.union(shop.methods.selectExpr("id", "'zz'", *[c for c in shop.methods.columns if c not in ("id", "name")])) if shop.methods.columns[:2] == ["id", "name"] else shop.methods.union(shop.methods))
+    T.save(twice, str(tmp_path / "b"))
+    assert {tuple(r) for r in T.load(spark, str(tmp_path / "b")).methods.collect()} == {tuple(r) for r in first(twice.methods, ["id"]).collect()}
