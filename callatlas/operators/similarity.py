@@ -144,9 +144,16 @@ def structural_classes(signatures: DataFrame, id_col: str = "method_id", text_co
 
 def structural_members(signatures: DataFrame, id_col: str = "method_id", text_col: str = "structural_signature") -> DataFrame:
     """id and rep (smallest id) of its class of equal token sets and bag sizes, a row for each signature with tokens."""
+    t = materialize(_keyed_sets(signatures, id_col, text_col).select("id", "same", "n_bag"), "sets")
+    return t.join(t.groupBy("same", "n_bag").agg(F.min("id").alias("rep")), ["same", "n_bag"]).select("id", "rep")
+
+
+def _keyed_sets(signatures: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, tokens (sorted set), n_bag and `same`, the SHA-256 of the tokens, which stands for them in shuffles. Tokens
+    hold no line ends, so that the text of a set is its own alone."""
     t = signatures.select(F.col(id_col).alias("id"), signature_tokens(F.col(text_col)).alias("bag")).where("size(bag) > 0")
     t = t.select("id", F.array_sort(F.array_distinct("bag")).alias("tokens"), F.size("bag").alias("n_bag"))
-    return t.join(t.groupBy("tokens", "n_bag").agg(F.min("id").alias("rep")), ["tokens", "n_bag"]).select("id", "rep")
+    return t.withColumn("same", F.unhex(F.sha2(F.array_join("tokens", "\n"), 256)))
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -352,6 +352,13 @@ def test_queries_meet_shards_in_tiles(spark, monkeypatch):
     assert len(twice) == len(want) and set(twice) == want
 
 
+def test_sets_go_by_their_digests(spark):
+    df = spark.createDataFrame([("b", "x y x"), ("a", "y;x(x"), ("c", "x y"), ("d", " ;"), ("e", "xy x")], "method_id string, structural_signature string")
+    out = S.structural_members(df)
+    assert {tuple(r) for r in out.collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("e", "e")}
+    assert "array_distinct" not in out._jdf.queryExecution().toString()  # texts are read once
+
+
 def test_save_sorts_only_repeated_keys(spark, shop, tmp_path, monkeypatch):
     first = T.first_wins
     monkeypatch.setattr(T, "first_wins", lambda df, keys, order=None: 1 / 0)
