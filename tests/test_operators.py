@@ -359,6 +359,14 @@ def test_sets_go_by_their_digests(spark):
     assert "array_distinct" not in out._jdf.queryExecution().toString()  # texts are read once
 
 
+def test_pairs_at_the_threshold_pass_the_sketch(spark):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    df = spark.createDataFrame([("a", words(0, 450)), ("b", words(50, 500)), ("c", words(51, 501)), ("d", words(900, 905)), ("e", words(900, 904))], "method_id string, structural_signature string")
+    out = S.structural_clones(df)
+    assert {(r.a, r.b) for r in out.collect()} == {("a", "b"), ("b", "c"), ("d", "e")}
+    assert "bit_count" in out._jdf.queryExecution().toString()
+
+
 def test_save_sorts_only_repeated_keys(spark, shop, tmp_path, monkeypatch):
     first = T.first_wins
     monkeypatch.setattr(T, "first_wins", lambda df, keys, order=None: 1 / 0)
