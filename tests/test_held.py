@@ -111,3 +111,12 @@ def test_rank_walks_graphs_held_as_numbers(spark, monkeypatch):
     monkeypatch.setattr(held, "HELD_BYTES", 1)
     monkeypatch.setattr(held, "NUMBERED", 1 << 20)
     assert {tuple(r) for r in G.rank(t, nodes).collect()} == want and walks
+
+
+def test_closure_held_as_numbers_writes_no_pairs(spark, monkeypatch):
+    edges = spark.createDataFrame(PAIRS["deep"], "src string, dst string")
+    monkeypatch.setattr(held, "HELD_BYTES", 1)
+    monkeypatch.setattr(held, "NUMBERED", 1 << 20)
+    tags = []
+    monkeypatch.setattr(G, "materialize", lambda df, tag, f=G.materialize: tags.append(tag) or f(df, tag))
+    assert {(r.src, r.dst): r.d for r in G.closure(edges).collect()} == reach(PAIRS["deep"]) and tags == ["edges"]
