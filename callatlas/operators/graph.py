@@ -29,6 +29,9 @@ DIRECTIONS = ("callees", "callers", "both")
 WEIGHTS = (0.4, 0.35, 0.25)
 #: Rounds in which a closure grows by one edge before path lengths double.
 STEPS = 16
+#: Distances, one less than a power of two, whose pairs leave a walk together, and pairs of a batch at most.
+LEVELS = 31
+BATCH_PAIRS = 1 << 18
 #: Edges of a neighbourhood that order-dependent walks take to the driver at most.
 DRIVER_EDGES = 200_000
 
@@ -149,11 +152,49 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def _pairs_of_block(g: Digraph, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of a block's starts, up to LEVELS distances at once, a target at a time. Distances are kept as binary
+    digits in rows of bits, whose size does not depend on the number of pairs."""
     names = g.names.take(pa.array(starts))
+    digits = np.zeros((LEVELS.bit_length(), len(g.names), -(-len(starts) // 64)), np.uint64)
+    found: list[np.ndarray] = []
+    base = 0
     for d, nodes, rows in g.spread(starts):
-        for k in range(0, len(nodes), 1024):
-            at, start = np.nonzero(_bits(rows[k : k + 1024], len(starts)))
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(start)), g.names.take(pa.array(nodes[k : k + 1024][at])), pa.array(np.full(len(at), d, np.int32))], names=["src", "dst", "d"])
+        if d - base > LEVELS:
+            yield from _targets(g, names, digits, found, base)
+            found, base = [], d - 1
+        found.append(nodes)
+        for k in range(len(digits)):
+            if d - base >> k & 1:
+                digits[k, nodes] |= rows
+    yield from _targets(g, names, digits, found, base)
+
+
+def _targets(g: Digraph, names: pa.Array, digits: np.ndarray, found: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the starts `names` with the nodes in `found`, at `base` and what the digits say; these become zero.
+    Targets reached by the most starts come first, and starts that reach the most of some targets: so files hold a
+    target once and much the same run of starts again and again, which compresses well."""
+    if not found:
+        return
+    nodes = np.unique(np.concatenate(found))
+    reached = np.bitwise_count(np.bitwise_or.reduce([x[nodes] for x in digits])).sum(1, dtype=np.int64)
+    spaced = _far(digits, nodes[:: -(-len(nodes) // 1024)], len(names))
+    order = np.lexsort((spaced.sum(0, dtype=np.int64), -np.count_nonzero(spaced, axis=0)))
+    names, nodes = names.take(pa.array(order)), nodes[np.argsort(-reached, kind="stable")]
+    some = max(1, BATCH_PAIRS // len(names))
+    for k in range(0, len(nodes), some):
+        part = nodes[k : k + some]
+        far = _far(digits, part, len(names)).take(order, axis=1)
+        digits[:, part] = 0
+        each = np.count_nonzero(far, axis=1)
+        at = np.flatnonzero(far)
+        src = (at - np.repeat(np.arange(len(part)) * len(names), each)).astype(np.int32)
+        d = far.ravel()[at].astype(np.int32) + np.int32(base)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(src)), g.names.take(pa.array(np.repeat(part.astype(np.int32), each))), pa.array(d)], names=["src", "dst", "d"])
+
+
+def _far(digits: np.ndarray, nodes: np.ndarray, n: int) -> np.ndarray:
+    """The numbers whose binary digits the rows of bits of `nodes` are, one for each of n starts."""
+    return np.bitwise_or.reduce([_bits(x[nodes], n) << np.uint8(k) for k, x in enumerate(digits)])
 
 
 def _bits(rows: np.ndarray, n: int) -> np.ndarray:

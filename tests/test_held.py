@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from callatlas.operators import graph as G
@@ -120,3 +122,21 @@ def test_closure_held_as_numbers_writes_no_pairs(spark, monkeypatch):
     tags = []
     monkeypatch.setattr(G, "materialize", lambda df, tag, f=G.materialize: tags.append(tag) or f(df, tag))
     assert {(r.src, r.dst): r.d for r in G.closure(edges).collect()} == reach(PAIRS["deep"]) and tags == ["edges"]
+
+
+@pytest.mark.parametrize("levels", [3, 31])
+def test_a_block_gives_a_target_with_its_starts_in_one_run(monkeypatch, levels):
+    rng = random.Random(6)
+    pairs = sorted({(f"{a:03d}", f"{b:03d}") for a, b in (sorted((rng.randrange(300), rng.randrange(300))) for _ in range(1200)) if a != b} | {("298", "299"), ("299", "298")})
+    monkeypatch.setattr(G, "LEVELS", levels)
+    monkeypatch.setattr(G, "BATCH_PAIRS", 5000)
+    names = sorted({x for p in pairs for x in p})
+    ends = [np.array([names.index(p[k]) for p in pairs], np.int32) for k in (0, 1)]
+    batches = list(G._pairs_of_block(held.Digraph.by_components(pa.array(names), *ends), np.arange(100, 230)))
+    rows = [(r["src"], r["dst"], r["d"]) for b in batches for r in b.to_pylist()]
+    got, want = {(a, b): d for a, b, d in rows}, reach(pairs)
+    starts = {a for a, _ in got}
+    assert len(got) == len(rows) and len(starts) > 120 and got == {p: d for p, d in want.items() if p[0] in starts}
+    assert max(len(b) for b in batches) <= 5000
+    runs = 1 + sum(a[1] != b[1] for a, b in zip(rows, rows[1:]))
+    assert runs == len({(b, (d - 1) // levels) for _, b, d in rows})
